@@ -65,7 +65,18 @@ def _chat() -> str:
     FROM t GROUP BY conv_id"""
 
 
+def _lines(limit: int = 10) -> str:
+    return rf"""WITH l AS (SELECT d.rowid AS r, doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
+        FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents) d, range(1, len(string_split(coalesce(text, ''), chr(10))) + 1) AS x(i)),
+    k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{urls.UPPER}', '{urls.LOWER}') AS key FROM l),
+    f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= {limit})
+    SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL), '')) AS kept_sha256
+    FROM k LEFT JOIN f ON f.key = k.key GROUP BY r"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": _lines(),
     "op7_secret_scan": _secrets(),
     "op8_url_filter": _urls(),
     "op10_chat_format": _chat(),
