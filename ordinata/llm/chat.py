@@ -74,7 +74,8 @@ def reply_paths(messages: DataFrame, *, tree_col: str = "tree_id", id_col: str =
     if top is not None:
         ends = ends.filter(F.col("rank") <= top)
     paths = ends.select("tree", "leaf", "rank", "path_score", F.col("leaf").alias("node"), F.col("depth").alias("pos"))
-    for k, jump in enumerate(jumps):
+    # longest jumps first: short paths then stay one row until their own lengths come up
+    for k, jump in reversed(list(enumerate(jumps))):
         both = paths.alias("l").join(jump.alias("r"), F.col("l.tree").eqNullSafe(F.col("r.tree")) & (F.col("l.node") == F.col("r.node")), "left")
         here = F.struct(F.col("l.node").alias("node"), F.col("l.pos").alias("pos"))
         there = F.struct(F.col("r.ptr").alias("node"), (F.col("l.pos") - F.lit(2**k)).alias("pos"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lines, secrets, urls
+from . import bpe, chat, lines, quality, secrets, urls
 from .common import table
 
 #: Host labels whose pages make the list of op8.
@@ -26,6 +26,11 @@ def automaton(path: str | None = None) -> bpe.Automaton:
     return bpe.load(path)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", *quality.COUNTS[:5], "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     coded = bpe.encode_texts(table(spark, sf_dir, "documents"), automaton(path))
     coded = coded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"))
@@ -70,6 +75,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_line_dedup": op6_line_dedup,
     "op7_secret_scan": op7_secret_scan,
