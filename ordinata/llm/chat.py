@@ -57,18 +57,22 @@ def reply_paths(messages: DataFrame, *, tree_col: str = "tree_id", id_col: str =
     known = nodes.select("tree", "node")
     state = cut(_up(nodes, known, "left").select("l.tree", "l.node", F.col("r.node").alias("ptr"), F.lit(1).cast("long").alias("depth"), "l.score"))
     leaves = state.alias("l").join(state.alias("c"), F.col("l.tree").eqNullSafe(F.col("c.tree")) & (F.col("l.node") == F.col("c.ptr")), "left_anti").select("tree", "node")
-    jumps = []
-    while len(jumps) < MAX_ROUNDS:
-        jump = state.filter("ptr is not null").select("tree", "node", "ptr")
-        if jump.isEmpty():
-            break
-        jumps.append(jump)
-        state = cut(_up(state, state, "left").select(
-            "l.tree", "l.node", F.col("r.ptr").alias("ptr"),
-            (F.col("l.depth") + F.coalesce("r.depth", F.lit(0))).alias("depth"),
-            (F.col("l.score") + F.coalesce("r.score", F.lit(0.0))).alias("score"),
+    jumps, roots, open_ = [], [state.filter("ptr is null")], state.filter("ptr is not null")
+    while len(jumps) < MAX_ROUNDS and not open_.isEmpty():
+        # only messages that haven't met their root go on; they look up any message
+        jumps.append(open_.select("tree", "node", "ptr"))
+        known = open_
+        for done in roots:
+            known = known.unionByName(done)
+        state = cut(_up(open_, known, "inner").select(
+            "l.tree", "l.node", F.col("r.ptr").alias("ptr"), (F.col("l.depth") + F.col("r.depth")).alias("depth"), (F.col("l.score") + F.col("r.score")).alias("score"),
         ))
-    ends = state.filter("ptr is null").alias("s").join(leaves.alias("l"), F.col("s.tree").eqNullSafe(F.col("l.tree")) & (F.col("s.node") == F.col("l.node")), "left_semi")
+        roots.append(state.filter("ptr is null"))
+        open_ = state.filter("ptr is not null")
+    state = roots[0]
+    for done in roots[1:]:
+        state = state.unionByName(done)
+    ends = state.alias("s").join(leaves.alias("l"), F.col("s.tree").eqNullSafe(F.col("l.tree")) & (F.col("s.node") == F.col("l.node")), "left_semi")
     ends = ends.select("tree", F.col("node").alias("leaf"), (F.col("score") / F.col("depth")).alias("path_score"), "depth")
     ends = ends.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")))
     if top is not None:
