@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import bpe, chat, leaks, lines, neardups, quality, secrets, urls
+from . import bpe, chat, leaks, lines, mil, neardups, quality, secrets, urls
 from .common import table
 
 #: Host labels whose pages make the list of op8.
@@ -67,6 +67,14 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    model = mil.learn(docs, labels.filter(~held))
+    out = mil.score(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= mil.CUTOFF).cast("int").alias("predicted"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -92,5 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_url_filter": op8_url_filter,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_format": op10_chat_format,
 }
