@@ -19,12 +19,12 @@ def components(edges: DataFrame) -> DataFrame | None:
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("to")))
         maps.append(to)
-        moved = rest.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        moved = rest.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")).hint("merge"), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("y")).hint("merge"), "b")
         rest = cut(moved.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     if not maps:
         return None
     out = maps[0].select("node", F.col("to").alias("root"))
     for to in maps[1:]:
         step = to.select(F.col("node").alias("root"), F.col("to").alias("next"))
-        out = out.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        out = out.join(step.hint("merge"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     return cut(out)

@@ -5,12 +5,13 @@ Texts with equal words (but for case and blanks) are one node. A node's signatur
 samples (shingle, t) of improved consistent weighted sampling; two nodes agree in a sample with a
 probability equal to their weighted Jaccard similarity. Nodes that agree in a whole band are in a bucket.
 
-Within a bucket not all pairs are formed. In each round the bucket's most central node (the one with most
-bucket mates over all of its bands) is compared with the others, and links are contracted to components;
-the next round takes the most central of the nodes that aren't in a former pivot's component, and
-compares it with all of the bucket but its own component. Buckets that few such nodes are left in are
-then finished exactly, with all pairs between these and other components. After MAX_ROUNDS rounds, nodes of
-larger buckets have been compared with that many centres each.
+Within a bucket not all pairs are formed. In each round, a bucket with few nodes left is finished exactly:
+they are compared with all of the bucket outside their own components. In any other bucket the most
+central of the nodes left (the one with most bucket mates over all of its bands) is compared with all of the
+bucket outside its own component; links are then contracted to components, and the nodes left for the next
+round are those in no former pivot's component. So a group of copies, however large, costs one
+comparison for each copy and centre. Nodes that are left in large buckets after all rounds have been compared
+with as many centres of each of their buckets.
 
 Defined results. Texts that are null or have no word are classes of their own. Rows with a null id are
 grouped with rows of equal words alone, unless such a row has an id. Repeated rows fall into one class. The
@@ -29,14 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components
-from .shingles import WORDS, Weights, common_shingles, text_key, weighted_jaccard, words_of
+from .shingles import WORDS, Weights, common_shingles, text_key, text_words, weighted_jaccard
 
 BANDS, ROWS = 10, 3
 SIMILARITY = 0.8
-MAX_ROUNDS = 4
-#: Nodes outside the pivots' components up to which a bucket is finished exactly.
-FEW = 40
-LEVELS = 1 << 16
+#: Nodes outside the pivots' components up to which a bucket is finished exactly, by round.
+FEW = [4, 12, 24, 40]
+LEVELS = 1 << 12
 
 
 def gamma_quantiles(n: int = LEVELS) -> np.ndarray:
@@ -66,12 +66,13 @@ class Sampler:
         out = np.zeros(len(self.a), np.uint64)
         for lo in range(0, len(keys), 8192):
             x, w = keys[lo : lo + 8192], weights[lo : lo + 8192]
-            z = (x[None, :] ^ self.b[:, None]) * self.a[:, None]
+            z = x[None, :] ^ self.b[:, None]
+            z *= self.a[:, None]
             z ^= z >> np.uint64(32)
-            z *= np.uint64(0xD6E8FEB86659FD93)
-            r = self.r[z >> np.uint64(48)]
-            log_c = self.log_c[(z >> np.uint64(32)) & np.uint64(LEVELS - 1)]
-            beta = ((z >> np.uint64(8)) & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(2**-24)
+            r = self.r[z >> np.uint64(52)]
+            log_c = self.log_c[(z >> np.uint64(40)) & np.uint64(LEVELS - 1)]
+            beta = ((z >> np.uint64(8)) & np.uint64(0xFFFFFF)).astype(np.float32)
+            beta *= np.float32(2**-24)
             odd = w != 1.0
             if odd.any():
                 t = np.zeros(r.shape, np.float32)
@@ -103,14 +104,19 @@ def signatures(docs: DataFrame, weights: Weights, *, id_col: str, text_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample, w = Sampler(bands * rows), shared.value
+        known: dict[bytes, np.ndarray] = {}  # copies are sampled once
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
                 nodes, keys = [], []
-                for t in b.column(1).to_pylist():
-                    words = words_of(t)
-                    nodes.append(text_key(words) if words else None)
-                    keys.append(band_keys(sample(*w.of_words(words, size)), bands, rows) if words else None)
+                for h in text_words(b.column(1).to_pylist()):
+                    node = text_key(h) if len(h) else None
+                    if node is not None and node not in known:
+                        if len(known) > 20_000:
+                            known.clear()
+                        known[node] = band_keys(sample(*w.of(h, size)), bands, rows)
+                    nodes.append(node)
+                    keys.append(known.get(node))
                 yield pa.record_batch([b.column(0), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "bands"])
 
     rows_ = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
@@ -122,14 +128,14 @@ def verified(pairs: DataFrame, content: DataFrame, weights: Weights, similarity:
     shared = pairs.sparkSession.sparkContext.broadcast(weights)
     left = content.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = content.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    both = _join(_join(pairs, left, "a"), right, "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, kept = shared.value, OrderedDict()
 
         def bag(node: bytes, text: str):
             if node not in kept:
-                kept[node] = w.of(text, size)
+                kept[node] = w.of(next(text_words([text])), size)
                 if len(kept) > 64:
                     kept.popitem(last=False)
             return kept[node]
@@ -155,70 +161,67 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # buckets of two nodes or more, and each node's number of mates
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = members.join(sizes, "bucket")
+    members = cut(_join(members, sizes, "bucket"))
     score = members.groupBy("node").agg(F.sum("n").alias("score"))
-    members = cut(members.join(score, "node").select("bucket", "node", "n", "score"))
-    kept = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("least").alias("id"), "node")
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(kept, "id")
+    members = cut(_join(members, score, "node").select("bucket", "node", "score"))
+    kept = _join(nodes, members.select("node").distinct(), "node", "left_semi").select(F.col("least").alias("id"), "node")
+    texts = _join(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")), kept, "id")
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:  # an id may stand for several texts
-            ok = [text_key(words_of(t)) == n for t, n in zip(b.column(1).to_pylist(), b.column(0).to_pylist())]
+            ok = [text_key(h) == n for h, n in zip(text_words(b.column(1).to_pylist()), b.column(0).to_pylist())]
             yield b.filter(pa.array(ok, pa.bool_()))
 
     content = cut(texts.select("node", "text").mapInArrow(same, "node binary, text string").groupBy("node").agg(F.min("text").alias("text")))
     links, tried, roots = None, None, None
-    left = members  # those that the next pivot is taken from
-    for turn in range(MAX_ROUNDS + 1):
-        here = members if roots is None else members.join(roots, "node", "left")
-        here = here.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
-        if turn < MAX_ROUNDS:
-            if turn:
-                left = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            else:
-                left = left.withColumn("root", F.col("node"))
-            pivots = left.groupBy("bucket").agg(F.max(F.struct("score", "node", "root")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"))
-            pairs = here.join(pivots, "bucket").filter("root != pivot_root").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        else:
-            # finish what few nodes are left in
-            left = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots is not None else left.withColumn("root", F.col("node"))
-            few = left.groupBy("bucket").agg(F.count("*").alias("m")).filter(F.col("m") <= FEW)
-            some = left.join(few, "bucket").select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
-            pairs = here.join(some, "bucket").filter("root != other_root").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    left = members.withColumn("root", F.col("node"))  # those that pivots are taken from
+    for turn, few in enumerate(FEW):
+        here = members.withColumn("root", F.col("node")) if roots is None else _rooted(members, roots)
+        heads = left.groupBy("bucket").agg(F.count("*").alias("m"), F.max(F.struct("score", "node", "root")).alias("p"))
+        heads = cut(heads.select("bucket", "m", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root")))
+        large = heads.filter(F.col("m") > few)
+        last = _join(left.select("bucket", "node", "root"), heads.filter(F.col("m") <= few), "bucket").select("bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+        against = large.select("bucket", "pivot", "pivot_root").unionByName(last)
+        pairs = _join(here, against, "bucket").filter("root != pivot_root").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = _join(pairs, tried, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        if pairs.isEmpty() and turn == MAX_ROUNDS:
-            break
         found = cut(verified(pairs, content, weights, similarity, size))
-        tried = pairs if tried is None else cut(tried.unionByName(pairs))
-        links = found if links is None else cut(links.unionByName(found))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
         roots = components(links)
-        if turn < MAX_ROUNDS:
-            at = left.select("bucket", "node", "n", "score")
-            if roots is None:
-                roots_now = at.select(F.col("node"), F.col("node").alias("root")).distinct()
-            else:
-                roots_now = roots
-            now = at.join(roots_now, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            centre = pivots.select("bucket", F.col("pivot").alias("node")).join(roots_now, "node", "left").select("bucket", F.coalesce("root", "node").alias("pivot_root"))
-            left = cut(now.join(centre, "bucket").filter("root != pivot_root").select("bucket", "node", "n", "score"))
-            if left.isEmpty():
-                break
-            roots = roots_now
-    return _classes(signed, nodes, links, id_col)
-
-
-def _classes(signed: DataFrame, nodes: DataFrame, links: DataFrame | None, id_col: str) -> DataFrame:
-    roots = components(links) if links is not None else None
+        if turn == len(FEW) - 1:
+            break
+        big = _join(left.select("bucket", "node", "score"), large.select("bucket", "pivot"), "bucket")
+        if roots is not None:
+            big = _rooted(big, roots)
+            big = _join(big, roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left").withColumn("pivot_root", F.coalesce("pivot_root", "pivot"))
+        else:
+            big = big.withColumn("root", F.col("node")).withColumn("pivot_root", F.col("pivot"))
+        left = cut(big.filter("root != pivot_root").select("bucket", "node", "score", "root"))
+        if left.isEmpty():
+            break
+    return _classes(signed, nodes, links, roots, id_col)
+
+
+def _join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Both sides may grow with the input: sorted and merged, so large keys are split and nothing is broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return _join(rows, roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _classes(signed: DataFrame, nodes: DataFrame, links: DataFrame, roots: DataFrame | None, id_col: str) -> DataFrame:
     if roots is None:
         per = nodes.select("node", F.col("least").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_copies")
     else:
         ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-        rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = _rooted(nodes, roots)
         ids = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
-        per = rooted.join(ids, "root").join(ends, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+        per = _join(_join(rooted, ids, "root"), ends, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     # texts without words have no node
     lone = signed.filter("node is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
-    out = signed.filter("node is not null").select("id", "node").join(per, "node").select("id", "class_id", "n_links", "n_copies").unionByName(lone)
+    out = _join(signed.filter("node is not null").select("id", "node"), per, "node").select("id", "class_id", "n_links", "n_copies").unionByName(lone)
     return out.withColumnRenamed("id", id_col)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,74 @@ class _Words(dict):
 _words = _Words()
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").split()
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.array(list(map(_words.__getitem__, words)), np.uint64)
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+
+
+#: Bytes of texts that are hashed at once.
+CHUNK = 1_000_000
+_base = 0x9E3779B97F4A7C15
+_rng = np.random.Generator(np.random.PCG64(11))
+_letter = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_blank = np.zeros(256, bool)
+_blank[[9, 10, 11, 12, 13, 32]] = True
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * CHUNK, np.uint64(b))])) for b in (_base, pow(_base, -1, 2**64)))
+
+
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, hash) of each word: differences of prefix sums of letter * base**place, moved to place 0."""
+    c = np.frombuffer(data, np.uint8)
+    if not len(c):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    power, inverse = _powers()
+    blank = _blank[c]
+    first = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    last = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]]))
+    sums = np.cumsum(_letter[c] * power[: len(c)])
+    h = sums[last] - np.where(first > 0, sums[np.maximum(first, 1) - 1], np.uint64(0))
+    return first, mix(h * inverse[first] + (last - first).astype(np.uint64))
+
+
+def text_words(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The hashes of each text's words, in order."""
+    group: list[bytes] = []
+    held = 0
+
+    def out():
+        ends = np.cumsum([len(x) + 1 for x in group])
+        first, h = _hashed(b"\n".join(group))
+        return np.split(h, np.searchsorted(first, ends[:-1])) if len(group) > 1 else [h]
+
+    for t in texts:
+        data = (t or "").lower().encode("utf-8", "surrogatepass")
+        if len(data) > CHUNK or held + len(data) > CHUNK:
+            if group:
+                yield from out()
+                group, held = [], 0
+        if len(data) > CHUNK:
+            yield np.concatenate([_hashed(x)[1] for x in _pieces(data)])
+        else:
+            group.append(data)
+            held += len(data) + 1
+    if group:
+        yield from out()
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """Pieces of at most CHUNK bytes, cut at blanks; a longer word is cut as it comes."""
+    lo = 0
+    while lo < len(data):
+        hi = lo + CHUNK
+        if hi < len(data):
+            at = max(data.rfind(x, lo + 1, hi) for x in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
+            hi = at if at > lo else hi
+        yield data[lo:hi]
+        lo = hi
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,9 +126,9 @@ def shingle_hashes(h: np.ndarray, size: int = WORDS) -> np.ndarray:
     return mix(out)
 
 
-def text_key(words: list[bytes]) -> bytes:
-    """128-bit hash of the words: equal for texts that differ in blanks and case alone."""
-    return xxhash.xxh3_128_digest(b" ".join(words))
+def text_key(h: np.ndarray) -> bytes:
+    """128-bit hash of the words' hashes: equal for texts that differ in blanks and case alone."""
+    return xxhash.xxh3_128_digest(h.tobytes())
 
 
 def _top(keys: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -109,22 +172,30 @@ def common_shingles(docs: DataFrame, text_col: str, size: int = WORDS, share: fl
     texts = docs.select(docs[text_col].cast("string").alias("t"), F.spark_partition_id().alias("p"))
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = total = lost = part = 0
-        keys, counts, waiting, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        n = total = lost = part = held = 0
+        keys, counts, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+        def add() -> None:
+            nonlocal keys, counts, waiting, held, lost
+            x = np.sort(np.concatenate([np.zeros(0, np.uint64), *waiting]))
+            at = np.flatnonzero(np.concatenate([[True] * (len(x) > 0), x[1:] != x[:-1]]))
+            k = 4 * counters(n, total)
+            new, many, cut = _top(x[at], np.diff(np.concatenate([at, [len(x)]])), k)
+            keys, counts, more = _top(*_added(np.concatenate([keys, new]), np.concatenate([counts, many])), k)
+            lost, waiting, held = lost + cut + more, [], 0
+
         for b in batches:
             for lo in range(0, b.num_rows, 512):
-                for t, p in zip(b.column(0).slice(lo, 512).to_pylist(), b.column(1).slice(lo, 512).to_pylist()):
-                    part = p
-                    s = np.unique(shingle_hashes(word_hashes(words_of(t)), size))
+                part = b.column(1)[lo].as_py()
+                for h in text_words(b.column(0).slice(lo, 512).to_pylist()):
+                    s = np.unique(shingle_hashes(h, size))
                     n += 1
                     total += len(s)
                     waiting.append(s)
                     held += len(s)
                     if held > 2_000_000:
-                        keys, counts = _added(np.concatenate([keys, *waiting]), np.concatenate([counts, np.ones(held, np.int64)]))
-                        keys, counts, cut = _top(keys, counts, 4 * counters(n, total))
-                        lost, waiting, held = lost + cut, [], 0
-        keys, counts = _added(np.concatenate([keys, *waiting]), np.concatenate([counts, np.ones(held, np.int64)]))
+                        add()
+        add()
         keys, counts, cut = _top(keys, counts, counters(n, total))
         if n:
             yield _row(part, n, total, lost + cut, keys, counts)
@@ -142,11 +213,14 @@ def common_shingles(docs: DataFrame, text_col: str, size: int = WORDS, share: fl
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want = np.frombuffer(sent.value, np.uint64)
+        near = np.zeros(1 << 20, bool)
+        near[want >> np.uint64(44)] = True
         found = np.zeros(len(want), np.int64)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
-                for t in b.column(0).slice(lo, 512).to_pylist():
-                    s = np.unique(shingle_hashes(word_hashes(words_of(t)), size))
+                for h in text_words(b.column(0).slice(lo, 512).to_pylist()):
+                    s = shingle_hashes(h, size)
+                    s = np.unique(s[near[s >> np.uint64(44)]])
                     at = np.minimum(np.searchsorted(want, s), len(want) - 1)
                     found[at[want[at] == s]] += 1
         some = np.flatnonzero(found)
@@ -164,12 +238,9 @@ class Weights:
         self.keys = np.array(sorted(common), np.uint64)
         self.idf = np.array([min(1.0, math.log(1 + n / common[k]) / math.log(1 + 1 / share)) for k in sorted(common)])
 
-    def of(self, text: str | None, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct shingles in order, weights)."""
-        return self.of_words(words_of(text), size)
-
-    def of_words(self, words: list[bytes], size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-        keys, tf = np.unique(shingle_hashes(word_hashes(words), size), return_counts=True)
+    def of(self, h: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct shingles in order, weights) of a text's word hashes."""
+        keys, tf = np.unique(shingle_hashes(h, size), return_counts=True)
         w = tf.astype(np.float64)
         if len(self.keys) and len(keys):
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
