@@ -19,19 +19,39 @@ their length. An empty table gives no rows. Only the named columns are used.
 from __future__ import annotations
 
 import json
+import re
+import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-#: Fixed value: the pattern by which byte-level tokenizers split a text into words, with \s spelled out.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words whose ids a worker keeps.
-MAX_CACHED = 300_000
+#: Fixed value: how byte-level tokenizers split a text into words. L, N and S stand for the code points that are
+#: letters, numbers and white space.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+"
+#: Fixed value: the code points with the property White_Space.
+WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Words whose ids a worker keeps in each of two generations.
+MAX_CACHED = 100_000
+
+
+@lru_cache(maxsize=2)
+def splitter(last: int = sys.maxunicode) -> re.Pattern:
+    """SPLIT with its classes spelled out as ranges, for texts without code points above last. The classes of
+    the first 65536 code points are much faster to test than those of all."""
+    blank = set(WHITE_SPACE)
+    ranges: dict[str, list[str]] = {"S": [], "L": [], "N": []}
+    for kind, run in groupby(range(last + 1), key=lambda c: "S" if c in blank else {"L": "L", "N": "N"}.get(unicodedata.category(chr(c))[0])):
+        if kind:
+            codes = list(run)
+            ranges[kind].append(f"\\U{codes[0]:08x}-\\U{codes[-1]:08x}")
+    return re.compile("".join("".join(ranges[c]) if c in ranges else c for c in SPLIT))
 
 
 def byte_letters() -> dict[str, int]:
@@ -44,17 +64,19 @@ def byte_letters() -> dict[str, int]:
 
 @dataclass
 class Automaton:
-    """arcs: packed bits, one row of ``width`` bytes for each token; target: state of each token, -1 if no
-    path uses it; labels: bytes of each token; added: text of added tokens to id."""
+    """arcs: packed bits, rows of ``width`` bytes; row: where in arcs each token's row begins (tokens that may
+    follow the same states share one); target: state of each token, -1 if no path uses it; labels: bytes of
+    each token; added: text of added tokens to id."""
 
     arcs: bytes
     width: int
+    row: list[int]
     target: list[int]
     labels: list[bytes]
     added: dict[str, int]
 
     def packed(self) -> bytes:
-        head = json.dumps({"width": self.width, "target": self.target, "labels": [x.hex() for x in self.labels], "added": self.added}).encode()
+        head = json.dumps({"width": self.width, "row": self.row, "target": self.target, "labels": [x.hex() for x in self.labels], "added": self.added}).encode()
         return zlib.compress(len(head).to_bytes(8, "little") + head + self.arcs, 1)
 
     @staticmethod
@@ -62,7 +84,7 @@ class Automaton:
         raw = zlib.decompress(data)
         n = int.from_bytes(raw[:8], "little")
         head = json.loads(raw[8 : 8 + n])
-        return Automaton(raw[8 + n :], head["width"], head["target"], [bytes.fromhex(x) for x in head["labels"]], head["added"])
+        return Automaton(raw[8 + n :], head["width"], head["row"], head["target"], [bytes.fromhex(x) for x in head["labels"]], head["added"])
 
 
 def compile_merges(n_tokens: int, alphabet: list[int], merges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,44 +130,60 @@ def load(path: str) -> Automaton:
     pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
     merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
     arcs, target = compile_merges(n, [vocab[ch] for ch in letters if ch in vocab], merges)
-    return Automaton(arcs.tobytes(), arcs.shape[1], target.tolist(), labels, added)
+    rows: dict[bytes, int] = {}
+    row = [rows.setdefault(r.tobytes(), len(rows)) * arcs.shape[1] for r in arcs]
+    return Automaton(b"".join(rows), arcs.shape[1], row, target.tolist(), labels, added)
 
 
 class Coder:
     """Encodes and decodes texts with an automaton, in one process."""
 
     def __init__(self, a: Automaton):
-        self.arcs, self.width, self.target, self.labels = a.arcs, a.width, a.target, a.labels
-        self.step: dict[int, int] = {}
-        self.token: list[int] = [-1]
+        self.arcs, self.row, self.target, self.labels = a.arcs, a.row, a.target, a.labels
+        self.step: dict[int, dict] = {}  # byte to the next node; -1 to the token that ends here
         for k, label in enumerate(a.labels):
-            if a.target[k] < 0:
-                continue
-            node = 0
-            for byte in label:
-                key = node << 8 | byte
-                if (to := self.step.get(key)) is None:
-                    to = self.step[key] = len(self.token)
-                    self.token.append(-1)
-                node = to
-            self.token[node] = k
-        self.words = regex.compile(SPLIT)
+            if a.target[k] >= 0:
+                node = self.step
+                for byte in label:
+                    node = node.setdefault(byte, {})
+                node[-1] = k
+        self.near, self.all = splitter(0xFFFF), splitter()
         self.added = a.added
-        self.marks = regex.compile("|".join(map(regex.escape, sorted(a.added, key=len, reverse=True)))) if a.added else None
+        self.marks = re.compile("|".join(map(re.escape, sorted(a.added, key=len, reverse=True)))) if a.added else None
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def word(self, data: bytes) -> tuple[int, ...]:
         n = len(data)
+        step, arcs, row, target = self.step, self.arcs, self.row, self.target
+        # the longest arc each time: if that reads the whole word, it is the one accepted path
+        out, at, s = [], 0, 0
+        while at < n:
+            node, best = step, -1
+            for i in range(at, n):
+                node = node.get(data[i])
+                if node is None:
+                    break
+                if -1 in node:
+                    t = node[-1]
+                    if arcs[row[t] + (s >> 3)] >> (s & 7) & 1:
+                        best, end = t, i + 1
+            if best < 0:
+                break
+            out.append(best)
+            at, s = end, target[best]
+        else:
+            return tuple(out)
+        # else for each end the one arc that the automaton allows there
         last, state = [-1] * (n + 1), [0] * (n + 1)
-        step, token, arcs, width, target = self.step, self.token, self.arcs, self.width, self.target
         for j in range(n):
-            s, node = state[j], 0
+            s, node = state[j], step
             for i in range(j, n):
-                node = step.get(node << 8 | data[i])
+                node = node.get(data[i])
                 if node is None:
                     break
-                t = token[node]
-                if t >= 0 and last[i + 1] < 0 and arcs[t * width + (s >> 3)] >> (s & 7) & 1:
+                t = node.get(-1, -1)
+                if t >= 0 and last[i + 1] < 0 and arcs[row[t] + (s >> 3)] >> (s & 7) & 1:
                     last[i + 1], state[i + 1] = t, target[t]
         out, at = [], n
         while at:
@@ -154,14 +192,16 @@ class Coder:
         return tuple(reversed(out))
 
     def _plain(self, text: str, out: list[int]) -> None:
-        cache = self.cache
-        for w in self.words.findall(text):
+        cache, older = self.cache, self.older
+        near = text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+        for w in (self.near if near else self.all).findall(text):
             ids = cache.get(w)
             if ids is None:
-                ids = self.word(w.encode("utf-8", "surrogatepass"))
+                ids = older.get(w) or self.word(w.encode("utf-8", "surrogatepass"))
                 if len(w) <= 64:
                     if len(cache) >= MAX_CACHED:
-                        cache.clear()
+                        self.older, self.cache = cache, {}
+                        cache, older = self.cache, self.older
                     cache[w] = ids
             out.extend(ids)
 
@@ -176,7 +216,11 @@ class Coder:
         return out
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
+        return decode(self.labels, ids)
+
+
+def decode(labels: list[bytes], ids) -> str:
+    return b"".join(map(labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
 _coders: dict[int, Coder] = {}
@@ -210,14 +254,14 @@ def encode_texts(docs: DataFrame, automaton: Automaton, *, id_col: str = "doc_id
 
 def decode_ids(rows: DataFrame, automaton: Automaton, *, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), out_col: str = "decoded") -> DataFrame:
     """The columns of keep, and the text of the packed ids."""
-    shared = rows.sparkSession.sparkContext.broadcast(automaton.packed())
+    shared = rows.sparkSession.sparkContext.broadcast(automaton.labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared)
+        labels = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                texts = [coder.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in part.column(0).to_pylist()]
+                texts = [decode(labels, np.frombuffer(x or b"", "<u4").tolist()) for x in part.column(0).to_pylist()]
                 yield pa.record_batch([*part.columns[1:], pa.array(texts, pa.string())], [*part.schema.names[1:], out_col])
 
     picked = rows.select(rows[ids_col].alias("_ids"), *(rows[c] for c in keep))

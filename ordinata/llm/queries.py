@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import bpe, chat, leaks, lines, mil, neardups, quality, secrets, urls
+from . import bpe, chat, leaks, lines, mil, neardups, passages, quality, secrets, urls
 from .common import table
 
 #: Host labels whose pages make the list of op8.
 LISTED_LABELS = ["adult-x", "free-bets", "spam-farm"]
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardups.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -94,6 +98,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_benchmark_leaks": op4_benchmark_leaks,
     "op5_bpe_codec": op5_bpe_codec,
