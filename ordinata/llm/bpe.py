@@ -235,8 +235,8 @@ def _coder(shared) -> Coder:
     return _coders[key]
 
 
-def encode_texts(docs: DataFrame, automaton: Automaton, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids: little-endian unsigned 32-bit integers, packed."""
+def encode_texts(docs: DataFrame, automaton: Automaton, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of keep, n_tokens, and ids: little-endian unsigned 32-bit integers, packed."""
     shared = docs.sparkSession.sparkContext.broadcast(automaton.packed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,12 +244,12 @@ def encode_texts(docs: DataFrame, automaton: Automaton, *, id_col: str = "doc_id
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                packed = [np.asarray(coder.encode(t or ""), "<u4").tobytes() for t in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary())], ["id", "n_tokens", "ids"])
+                packed = [np.asarray(coder.encode(t or ""), "<u4").tobytes() for t in part.column(0).to_pylist()]
+                yield pa.record_batch([*part.columns[1:], pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary())], [*part.schema.names[1:], "n_tokens", "ids"])
 
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids binary")
-    return out.withColumnRenamed("id", id_col)
+    rows = docs.select(docs[text_col].cast("string").alias("_text"), *(docs[c] for c in keep))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
+    return rows.mapInArrow(run, ", ".join([*fields, "n_tokens long", "ids binary"]))
 
 
 def decode_ids(rows: DataFrame, automaton: Automaton, *, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), out_col: str = "decoded") -> DataFrame:

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -204,6 +205,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return _classes(signed, nodes, links, roots, id_col)
 
 
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of each class, the one of the least id, with the columns of docs; of repeated rows one stays.
+    Rows with a null id can't be told apart and stay."""
+    names = docs.columns
+    flat = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    i, t = (f"c{names.index(c)}" for c in (id_col, text_col))
+    classes = near_duplicates(flat.select(F.col(i).alias("id"), F.col(t).alias("text")), id_col="id", text_col="text", **how)
+    first = classes.filter("id = class_id").select(F.col("id").alias(i)).distinct()
+    with_id = _join(flat.filter(F.col(i).isNotNull()), first, i, "left_semi")
+    w = W.partitionBy(i).orderBy(F.xxhash64(t), F.xxhash64(*flat.columns))
+    once = with_id.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return once.select(*flat.columns).unionByName(flat.filter(F.col(i).isNull())).toDF(*names)
+
+
 def _join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     """Both sides may grow with the input: sorted and merged, so large keys are split and nothing is broadcast."""
     return left.join(right.hint("merge"), on, how)
