@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of texts that Spark sends to Python at once.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Texts are long: Spark's default of 10,000 rows a batch could take much memory in a worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, and only
     where that is unset (tests on one machine) a temporary one."""
@@ -26,12 +39,34 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows of a partition of a table whose size is known to be small.
+PART_ROWS = 25_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage; survives lost executors. A checkpoint
     carries its plan's size estimates along. In loops with joins their product has twice as many digits
-    after each round, so the rows are wrapped anew, without estimates."""
+    after each round, so the rows are wrapped anew, without estimates. rows: a bound of their number, where
+    one is known, for as many partitions as that takes."""
     spark = df.sparkSession
     shared_dir(spark)
-    kept = df.checkpoint(eager=True)
-    rows = kept._jdf.queryExecution().toRdd()
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
+    kept = (df if rows is None else df.coalesce(rows // PART_ROWS + 1)).checkpoint(eager=True)
+    rdd = kept._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rdd, kept._jdf.schema(), False), spark)
+
+
+#: Rows of ids and numbers up to which a side of known size is broadcast: a few MB.
+BROADCAST_ROWS = 50_000
+
+
+def join(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """Both sides may grow with the input, so they are sorted and merged, which splits large keys. Only where
+    right is known to have few rows (rows: a bound, of ids and numbers alone) it is broadcast."""
+    return left.join(right.hint("broadcast" if rows is not None and rows <= BROADCAST_ROWS else "merge"), on, how)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle and checkpoint files of DataFrames that are gone; between rounds of
+    a loop, the driver might not collect its garbage by itself for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded_batches, cut, join, release
 from .components import components
 from .shingles import WORDS, Weights, common_shingles, text_key, text_words, weighted_jaccard
 
@@ -129,7 +129,7 @@ def verified(pairs: DataFrame, content: DataFrame, weights: Weights, similarity:
     shared = pairs.sparkSession.sparkContext.broadcast(weights)
     left = content.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = content.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    both = _join(_join(pairs, left, "a"), right, "b").select("a", "b", "ta", "tb")
+    both = join(join(pairs, left, "a"), right, "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, kept = shared.value, OrderedDict()
@@ -155,6 +155,7 @@ def verified(pairs: DataFrame, content: DataFrame, weights: Weights, similarity:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of docs: id, class_id, n_links (verified links of the row's text to others),
     n_copies (rows of equal words)."""
+    bounded_batches(docs)
     weights = Weights(*common_shingles(docs, text_col, size))
     signed = cut(signatures(docs, weights, id_col=id_col, text_col=text_col, size=size, bands=bands, rows=rows))
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.min("bands").alias("bands"), F.count("*").alias("n_copies"))
@@ -162,11 +163,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # buckets of two nodes or more, and each node's number of mates
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = cut(_join(members, sizes, "bucket"))
+    members = cut(join(members, sizes, "bucket"))
     score = members.groupBy("node").agg(F.sum("n").alias("score"))
-    members = cut(_join(members, score, "node").select("bucket", "node", "score"))
-    kept = _join(nodes, members.select("node").distinct(), "node", "left_semi").select(F.col("least").alias("id"), "node")
-    texts = _join(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")), kept, "id")
+    members = join(members, score, "node").select("bucket", "node", "score")
+    n = members.count()
+    members = cut(members, n)
+    kept = join(nodes, members.select("node").distinct(), "node", "left_semi").select(F.col("least").alias("id"), "node")
+    texts = join(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")), kept, "id")
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:  # an id may stand for several texts
@@ -174,32 +177,35 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield b.filter(pa.array(ok, pa.bool_()))
 
     content = cut(texts.select("node", "text").mapInArrow(same, "node binary, text string").groupBy("node").agg(F.min("text").alias("text")))
-    links, tried, roots = None, None, None
+    links, tried, roots, n_roots, n_tried = None, None, None, 0, 0
     left = members.withColumn("root", F.col("node"))  # those that pivots are taken from
     for turn, few in enumerate(FEW):
-        here = members.withColumn("root", F.col("node")) if roots is None else _rooted(members, roots)
+        here = members.withColumn("root", F.col("node")) if roots is None else _rooted(members, roots, n_roots)
         heads = left.groupBy("bucket").agg(F.count("*").alias("m"), F.max(F.struct("score", "node", "root")).alias("p"))
-        heads = cut(heads.select("bucket", "m", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root")))
+        heads = cut(heads.select("bucket", "m", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root")), n)
         large = heads.filter(F.col("m") > few)
-        last = _join(left.select("bucket", "node", "root"), heads.filter(F.col("m") <= few), "bucket").select("bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+        last = join(left.select("bucket", "node", "root"), heads.filter(F.col("m") <= few), "bucket", rows=n).select("bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
         against = large.select("bucket", "pivot", "pivot_root").unionByName(last)
-        pairs = _join(here, against, "bucket").filter("root != pivot_root").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        pairs = join(here, against, "bucket", rows=n).filter("root != pivot_root").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         if tried is not None:
-            pairs = _join(pairs, tried, ["a", "b"], "left_anti")
+            pairs = join(pairs, tried, ["a", "b"], "left_anti", n_tried)
         pairs = cut(pairs)
+        n_tried += pairs.count()
         found = cut(verified(pairs, content, weights, similarity, size))
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         roots = components(links)
+        n_roots = 0 if roots is None else roots.count()
         if turn == len(FEW) - 1:
             break
-        big = _join(left.select("bucket", "node", "score"), large.select("bucket", "pivot"), "bucket")
+        big = join(left.select("bucket", "node", "score"), large.select("bucket", "pivot"), "bucket", rows=n)
         if roots is not None:
-            big = _rooted(big, roots)
-            big = _join(big, roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left").withColumn("pivot_root", F.coalesce("pivot_root", "pivot"))
+            big = _rooted(big, roots, n_roots)
+            big = join(big, roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left", n_roots).withColumn("pivot_root", F.coalesce("pivot_root", "pivot"))
         else:
             big = big.withColumn("root", F.col("node")).withColumn("pivot_root", F.col("pivot"))
-        left = cut(big.filter("root != pivot_root").select("bucket", "node", "score", "root"))
+        left = cut(big.filter("root != pivot_root").select("bucket", "node", "score", "root"), n)
+        release(docs.sparkSession)
         if left.isEmpty():
             break
     return _classes(signed, nodes, links, roots, id_col)
@@ -213,19 +219,14 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     i, t = (f"c{names.index(c)}" for c in (id_col, text_col))
     classes = near_duplicates(flat.select(F.col(i).alias("id"), F.col(t).alias("text")), id_col="id", text_col="text", **how)
     first = classes.filter("id = class_id").select(F.col("id").alias(i)).distinct()
-    with_id = _join(flat.filter(F.col(i).isNotNull()), first, i, "left_semi")
+    with_id = join(flat.filter(F.col(i).isNotNull()), first, i, "left_semi")
     w = W.partitionBy(i).orderBy(F.xxhash64(t), F.xxhash64(*flat.columns))
     once = with_id.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
     return once.select(*flat.columns).unionByName(flat.filter(F.col(i).isNull())).toDF(*names)
 
 
-def _join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Both sides may grow with the input: sorted and merged, so large keys are split and nothing is broadcast."""
-    return left.join(right.hint("merge"), on, how)
-
-
-def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    return _join(rows, roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _rooted(rows: DataFrame, roots: DataFrame, n: int | None = None) -> DataFrame:
+    return join(rows, roots, "node", "left", n).withColumn("root", F.coalesce("root", "node"))
 
 
 def _classes(signed: DataFrame, nodes: DataFrame, links: DataFrame, roots: DataFrame | None, id_col: str) -> DataFrame:
@@ -235,8 +236,8 @@ def _classes(signed: DataFrame, nodes: DataFrame, links: DataFrame, roots: DataF
         ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
         rooted = _rooted(nodes, roots)
         ids = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
-        per = _join(_join(rooted, ids, "root"), ends, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+        per = join(join(rooted, ids, "root"), ends, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     # texts without words have no node
     lone = signed.filter("node is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
-    out = _join(signed.filter("node is not null").select("id", "node"), per, "node").select("id", "class_id", "n_links", "n_copies").unionByName(lone)
+    out = join(signed.filter("node is not null").select("id", "node"), per, "node").select("id", "class_id", "n_links", "n_copies").unionByName(lone)
     return out.withColumnRenamed("id", id_col)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 WORDS = 5
 #: A shingle in at most this share of all documents has full weight; weights fall from there on.
-COMMON_SHARE = 0.05
+COMMON_SHARE = 0.2
 #: Counters of a summary of frequent shingles, at least.
 COUNTERS = 16384
 #: Words whose hashes a worker keeps.
@@ -42,7 +42,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 #: Bytes of texts that are hashed at once.
-CHUNK = 1_000_000
+CHUNK = 250_000
 _base = 0x9E3779B97F4A7C15
 _rng = np.random.Generator(np.random.PCG64(11))
 _letter = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -193,7 +193,7 @@ def common_shingles(docs: DataFrame, text_col: str, size: int = WORDS, share: fl
                     total += len(s)
                     waiting.append(s)
                     held += len(s)
-                    if held > 2_000_000:
+                    if held > 500_000:
                         add()
         add()
         keys, counts, cut = _top(keys, counts, counters(n, total))
