@@ -75,3 +75,13 @@ def multiset_access(ms: Multiset, i: int, largest: int = 2**32 - 1) -> DataFrame
     if i < 0:
         raise IndexError(i)
     return running_total(ms.df, "value", "cnt", largest).filter((F.col("lo") <= i) & (F.col("hi") > i)).select("value")
+
+
+def upper_bound(ms: Multiset, x: int) -> DataFrame:
+    """cnt: the first sorted place after all elements that are at most x."""
+    return multiset_rank(ms, x)
+
+
+def lower_bound(ms: Multiset, x: int) -> DataFrame:
+    """cnt: the first sorted place whose element is at least x."""
+    return multiset_rank(ms, x - 1)

@@ -151,8 +151,9 @@ def quantile_batch(seq: Sequence, offsets: list[int], first: int | None = None,
     first, last = check_range(first, last, seq.length)
     if any(not 0 <= o < last - first for o in offsets):
         raise IndexError("offset out of range")
-    asked = F.broadcast(_list(seq, offsets, "off long"))  # at most MAX_LITERALS
-    return ranked(seq, first, last).join(asked, (F.col("lo") <= F.col("off")) & (F.col("off") < F.col("hi"))).groupBy("sym", "cnt").agg(F.count("*").alias("num_offsets"))
+    asked = _list(seq, [(o, o + 1) for o in offsets], "first long, last long")
+    spans = ranked(seq, first, last).select("sym", "cnt", F.col("lo").alias("start"), F.col("hi").alias("end"))
+    return join_ranges(spans, asked, max(1, (last - first) >> 10)).groupBy("sym", "cnt").agg(F.count("*").alias("num_offsets"))
 
 
 def quantiles(seq: Sequence, first_offset: int, last_offset: int, first: int | None = None, last: int | None = None) -> DataFrame:

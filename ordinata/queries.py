@@ -158,6 +158,8 @@ _MS = "WITH m AS (SELECT CAST(l_quantity AS BIGINT) AS value, count(*) AS cnt FR
 _add("multiset", quantities, lambda m: m.df, _MS + "SELECT value, cnt FROM m")
 _add("multiset_rank", quantities, lambda m: S.multiset_rank(m, 17), _MS + "SELECT CAST(coalesce(sum(cnt), 0) AS BIGINT) AS cnt FROM m WHERE value <= 17")
 _add("multiset_access", quantities, lambda m: S.multiset_access(m, 4000), _MS + ", r AS (SELECT value, sum(cnt) OVER (ORDER BY value) AS hi, cnt FROM m) SELECT value FROM r WHERE hi > 4000 AND hi - cnt <= 4000")
+_add("upper_bound", quantities, lambda m: S.upper_bound(m, 17), _MS + "SELECT CAST(coalesce(sum(cnt), 0) AS BIGINT) AS cnt FROM m WHERE value <= 17")
+_add("lower_bound", quantities, lambda m: S.lower_bound(m, 17), _MS + "SELECT CAST(coalesce(sum(cnt), 0) AS BIGINT) AS cnt FROM m WHERE value < 17")
 # Scalar functions
 _add(
     "bit_functions", lambda a, b: _read(a, b, "part"),

@@ -1 +1 @@
-
+"""Empty on purpose: sequences are built once and never change, so there is nothing to stream."""
