@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, secrets, urls
+from . import chat, quality, secrets, urls
 from .queries import LISTED_LABELS
 
 
@@ -75,7 +75,33 @@ def _lines(limit: int = 10) -> str:
     FROM k LEFT JOIN f ON f.key = k.key GROUP BY r"""
 
 
+def _quality() -> str:
+    risk = {"symbols": "n_symbols / greatest(n_words, 1)", "upper": "n_upper / greatest(word_chars, 1)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)", "bangs": "n_bangs / greatest(n_words, 1)"}
+    each = " UNION ALL ".join(f"SELECT doc_id, stratum, {k} AS r, '{r}' AS rule, CAST({risk[r]} AS DOUBLE) AS risk FROM f" for k, r in enumerate(quality.RULES))
+    grid = ", ".join(f"({x})" for x in quality.GRID)
+    share = quality.ALPHA / len(quality.RULES)
+    return rf"""WITH d AS (SELECT doc_id, coalesce(lang, chr(1)) AS stratum, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\t-\r ]+'), lambda x: x <> '') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\t-\r ]')) AS ls FROM documents),
+    win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM d, range(1, len(w) - 1) AS n(i)),
+    again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM win) WHERE n > 1),
+    rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(0, 3) AS m(k) GROUP BY doc_id),
+    f AS (SELECT doc_id, stratum, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_bangs
+        FROM d LEFT JOIN rep USING (doc_id)),
+    v AS ({each}),
+    y AS (SELECT doc_id, min(quality) AS y FROM labels WHERE quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = max(quality)),
+    n AS (SELECT stratum, count(*) FILTER (y = 1) AS n_good FROM f JOIN y USING (doc_id) GROUP BY stratum),
+    c AS (SELECT stratum, rule, cutoff, count(*) FILTER (y = 1 AND risk > cutoff) AS g, count(*) FILTER (y = 0 AND risk > cutoff) AS b FROM v JOIN y USING (doc_id), (VALUES {grid}) AS q(cutoff) GROUP BY ALL),
+    p AS (SELECT c.*, list_sum(list_transform(range(0, least(g, n_good) + 1), lambda i: exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({share!r}) + (n_good - i) * ln(1 - {share!r})))) AS p,
+        {quality.DELTA} / ((SELECT count(*) FROM n) * {len(quality.RULES) * len(quality.GRID)}) AS level FROM c JOIN n USING (stratum)),
+    z AS (SELECT stratum, rule, arg_max(cutoff, (b - {quality.GOOD_COSTS} * g, cutoff)) AS cutoff FROM p WHERE p <= level AND b > {quality.GOOD_COSTS} * g GROUP BY stratum, rule),
+    no AS (SELECT doc_id, string_agg(rule, ',' ORDER BY r) AS rejected_by FROM v JOIN z USING (stratum, rule) WHERE risk > cutoff GROUP BY doc_id),
+    j AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f LEFT JOIN no USING (doc_id))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by FROM j"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": _quality(),
     "op6_line_dedup": _lines(),
     "op7_secret_scan": _secrets(),
     "op8_url_filter": _urls(),
