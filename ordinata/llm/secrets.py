@@ -45,7 +45,7 @@ MORE = [
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 ]
-SPAN = "array<struct<start:long,end:long,rank:int,kind:string>>"
+SPAN = "array<struct<start:long,rank:int,end:long,kind:string>>"
 
 
 def postings(docs: DataFrame, trigrams: list[str], id_col: str, text_col: str) -> DataFrame:
@@ -82,14 +82,14 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     def step(acc, x):
         begin = acc["at"] + x["gap"]
         end = begin + x["n"]
-        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), kind.alias("kind"))
+        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), kind.alias("kind"))
         return F.struct(end.alias("at"), F.when(x["of"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(F.filter(rows, lambda x: x["n"].isNotNull()), start, step, lambda acc: acc["out"])
 
 
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = BASE + MORE) -> DataFrame:
-    """id, spans array of (start, end, rank, kind) in order of start, then of the rules."""
+    """id, spans array of (start, rank, end, kind) in order of start, then of the rules."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     listed = candidates(docs, rules, id_col, text_col)
