@@ -32,6 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
+
 #: Fixed value: how byte-level tokenizers split a text into words. L, N and S stand for the code points that are
 #: letters, numbers and white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+"
@@ -89,22 +91,27 @@ class Automaton:
 
 def compile_merges(n_tokens: int, alphabet: list[int], merges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """(arcs, target) for merges (left, right, whole) of token ids, in order of priority."""
-    arcs = np.zeros((n_tokens, 64), np.uint8)
-    target = np.full(n_tokens, -1, np.int64)
-    target[alphabet] = 0
-    arcs[alphabet, 0] = 1
-    refs = [len(alphabet) + 1]  # tokens that lead to a state; the start counts as one
+    # tokens are held in order of creation, so that a new state is a copy of the rows made so far
+    order = list(dict.fromkeys([*alphabet, *(c for _, _, c in merges)]))
+    place = {t: k for k, t in enumerate(order)}
+    arcs = np.zeros((len(order), 64), np.uint8)
+    target = np.full(len(order), -1, np.int64)
+    made = len(alphabet)
+    target[:made] = 0
+    arcs[:made, 0] = 1
+    refs = [made + 1]  # tokens that lead to a state; the start counts as one
     for a, b, c in merges:
+        a, b, c = place[a], place[b], place[c]
         q, r = int(target[a]), int(target[b])
         if q < 0 or r < 0 or not arcs[b, q >> 3] >> (q & 7) & 1:
             continue  # b can't follow a: no text ever uses this merge
+        made = max(made, c + 1)
         own = q
         if refs[q] > 1 or a == b:
             own = len(refs)
             if own >> 3 >= arcs.shape[1]:
                 arcs = np.hstack([arcs, np.zeros_like(arcs)])
-            bits = (arcs[:, q >> 3] >> (q & 7)) & 1
-            arcs[:, own >> 3] |= bits << (own & 7)
+            arcs[:made, own >> 3] |= ((arcs[:made, q >> 3] >> (q & 7)) & 1) << (own & 7)
             refs[q] -= 1
             refs.append(1)
             target[a] = own
@@ -112,7 +119,10 @@ def compile_merges(n_tokens: int, alphabet: list[int], merges: list[tuple[int, i
         arcs[c] = arcs[a]
         target[c] = r
         refs[r] += 1
-    return np.ascontiguousarray(arcs[:, : (len(refs) + 7) // 8]), target
+    width = (len(refs) + 7) // 8
+    out, to = np.zeros((n_tokens, width), np.uint8), np.full(n_tokens, -1, np.int64)
+    out[order], to[order] = arcs[:, :width], target
+    return out, to
 
 
 def load(path: str) -> Automaton:
@@ -215,6 +225,10 @@ class Coder:
         self._plain(text[at:] if at else text, out)
         return out
 
+    def forget(self) -> None:
+        """Between tasks: Spark hands this process to other stages, which need the memory."""
+        self.cache, self.older = {}, {}
+
     def decode(self, ids) -> str:
         return decode(self.labels, ids)
 
@@ -235,8 +249,9 @@ def _coder(shared) -> Coder:
     return _coders[key]
 
 
-def encode_texts(docs: DataFrame, automaton: Automaton, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of keep, n_tokens, and ids: little-endian unsigned 32-bit integers, packed."""
+def encode_texts(docs: DataFrame, automaton: Automaton, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded_col: str | None = None) -> DataFrame:
+    """The columns of keep, n_tokens, and ids: little-endian unsigned 32-bit integers, packed. decoded_col: adds
+    what the ids decode to, in the same pass."""
     shared = docs.sparkSession.sparkContext.broadcast(automaton.packed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,12 +259,16 @@ def encode_texts(docs: DataFrame, automaton: Automaton, *, text_col: str = "text
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                packed = [np.asarray(coder.encode(t or ""), "<u4").tobytes() for t in part.column(0).to_pylist()]
-                yield pa.record_batch([*part.columns[1:], pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary())], [*part.schema.names[1:], "n_tokens", "ids"])
-
-    rows = docs.select(docs[text_col].cast("string").alias("_text"), *(docs[c] for c in keep))
+                ids = [coder.encode(t or "") for t in part.column(0).to_pylist()]
+                new = {"n_tokens": pa.array(map(len, ids), pa.int64()), "ids": pa.array([np.asarray(x, "<u4").tobytes() for x in ids], pa.binary())}
+                if decoded_col:
+                    new[decoded_col] = pa.array(map(coder.decode, ids), pa.string())
+                yield pa.record_batch([*part.columns[1:], *new.values()], [*part.schema.names[1:], *new])
+        coder.forget()
+
+    rows = bounded_batches(docs).select(docs[text_col].cast("string").alias("_text"), *(docs[c] for c in keep))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
-    return rows.mapInArrow(run, ", ".join([*fields, "n_tokens long", "ids binary"]))
+    return rows.mapInArrow(run, ", ".join([*fields, "n_tokens long", "ids binary", *([f"`{decoded_col}` string"] if decoded_col else [])]))
 
 
 def decode_ids(rows: DataFrame, automaton: Automaton, *, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), out_col: str = "decoded") -> DataFrame:
@@ -264,6 +283,6 @@ def decode_ids(rows: DataFrame, automaton: Automaton, *, ids_col: str = "ids", k
                 texts = [decode(labels, np.frombuffer(x or b"", "<u4").tolist()) for x in part.column(0).to_pylist()]
                 yield pa.record_batch([*part.columns[1:], pa.array(texts, pa.string())], [*part.schema.names[1:], out_col])
 
-    picked = rows.select(rows[ids_col].alias("_ids"), *(rows[c] for c in keep))
+    picked = bounded_batches(rows).select(rows[ids_col].alias("_ids"), *(rows[c] for c in keep))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[1:]]
     return picked.mapInArrow(run, ", ".join([*fields, f"`{out_col}` string"]))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded_batches, cut
 
 Q = 8
 EDIT_SHARE = 0.08
@@ -235,7 +235,7 @@ def _pass(rows: DataFrame, items: list[tuple[str, str]], q: int, share: float, k
                 cols = [b.column(0), pa.array(leaks, LEAK_TYPE), *([b.column(2)] if keep_text else [])]
                 yield pa.record_batch(cols, ["row", "leaks", "text"][: len(cols)])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, leaks {LEAK}" + (", text string" if keep_text else ""))
+    return bounded_batches(rows).mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, leaks {LEAK}" + (", text string" if keep_text else ""))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, q: int = Q, edit_share: float = EDIT_SHARE, group_chars: int = GROUP_CHARS) -> DataFrame:

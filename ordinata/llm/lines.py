@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, cut
+from .common import WS, bounded_batches, cut
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -159,7 +159,7 @@ def count_lines(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
                     found.clear()
         yield from out()
 
-    pairs = docs.select(docs[text_col].cast("string").alias("t")).mapInArrow(run, "h1 long, h2 long, n long")
+    pairs = bounded_batches(docs).select(docs[text_col].cast("string").alias("t")).mapInArrow(run, "h1 long, h2 long, n long")
     return pairs.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
@@ -211,7 +211,7 @@ def _probe(docs: DataFrame, group: dict[int, bytes], shards: int, limit: int, mi
                 yield pa.record_batch([b.column(0), pa.array(kept, pa.string()), pa.array([len(m) for m in out], pa.int64()), pa.array([int(m.sum()) for m in out], pa.int64())], ["row", "text", "n_lines", "n_dropped"])
 
     kind = docs.schema["row"].dataType.simpleString()
-    return docs.mapInArrow(run, f"row {kind}, text string, " + ("n_lines long, n_dropped long" if last else "mask binary"))
+    return bounded_batches(docs).mapInArrow(run, f"row {kind}, text string, " + ("n_lines long, n_dropped long" if last else "mask binary"))
 
 
 def dedup_lines(docs: DataFrame, *, text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, group_bytes: int = GROUP_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:

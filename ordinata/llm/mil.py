@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .shingles import MULTIPLIERS, mix, word_hashes
 
 PASSAGE_WORDS = 100
@@ -165,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.record_batch([b.column(0).cast(pa.string()), b.column(1), pa.array(bags, pa.binary())], ["id", "y", "bag"])
 
     # the sample has at most sample_docs rows of an id and a label, so it is broadcast
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("t")).join(F.broadcast(some), "id").select("id", "y", "t")
+    texts = bounded_batches(docs).select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("t")).join(F.broadcast(some), "id").select("id", "y", "t")
     rows = texts.mapInArrow(run, "id string, y int, bag binary").filter(F.length("bag") > 0).groupBy("id").agg(F.min("y").alias("y"), F.min("bag").alias("bag")).collect()
     rows = sorted(rows, key=lambda r: r["id"])
     return Model().fit([np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in rows], np.array([r["y"] for r in rows]))
@@ -182,5 +183,5 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 part = b.slice(lo, 256)
                 yield pa.record_batch([part.column(0), pa.array(m.scores([encode(t) for t in part.column(1).to_pylist()]))], ["id", "score"])
 
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    rows = bounded_batches(docs).select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)

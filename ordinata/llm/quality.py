@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded_batches, cut
 
 SYMBOLS = b"#*$%&|<>"
 ALPHA, DELTA = 0.05, 0.05
@@ -80,7 +80,7 @@ def _counted(rows: DataFrame) -> DataFrame:
                 got = np.array([counts_of(t) for t in part.column(1).to_pylist()], np.int64).reshape(-1, len(COUNTS))
                 yield pa.record_batch([part.column(0), *(pa.array(got[:, k].copy()) for k in range(len(COUNTS)))], ["row", *COUNTS])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return bounded_batches(rows).mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def risk(rule: str) -> Column:

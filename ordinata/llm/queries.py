@@ -46,10 +46,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    coded = bpe.encode_texts(table(spark, sf_dir, "documents"), automaton(path))
-    coded = coded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"))
-    back = bpe.decode_ids(coded, automaton(path), keep=("doc_id", "n_tokens", "ids_sha256"))
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.encode_texts(table(spark, sf_dir, "documents"), automaton(path), decoded_col="decoded")
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
