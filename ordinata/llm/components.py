@@ -9,7 +9,7 @@ from .common import cut, join
 
 
 def components(edges: DataFrame) -> DataFrame | None:
-    """edges (a, b) to (node, root), root the same for linked nodes; None without edges. In each round a
+    """edges (a, b) to (node, root), root the least node that links lead to; None without edges. In each round a
     node points to its least neighbour, or itself if that is less; pointers are doubled until all lead to the
     least node of their tree, and edges are carried over to there. Each tree has two nodes at least, so half of
     the nodes are gone after each round, and hubs are only ever aggregated or joined to one row."""
