@@ -97,6 +97,7 @@ def test_components(spark):
     assert all(root[k] == k for k in lone)
     groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in set(m.values())}
     assert groups(got) == groups({k: v for k, v in root.items() if k not in lone})
+    assert all(v == min(k for k in got if got[k] == v) for v in set(got.values()))
     assert components.components(spark.createDataFrame([], "a long, b long")) is None
 
 
