@@ -40,9 +40,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and the text that the ids decode to."""
-    keep = ("doc_id", "lang", "source")
-    coded = bpe.encode_texts(docs, automaton(), keep=keep)
-    return bpe.decode_ids(coded, automaton(), keep=(*keep, "n_tokens", "ids"), out_col="text")
+    return bpe.encode_texts(docs, automaton(), keep=("doc_id", "lang", "source"), decoded_col="text")
 
 
 STAGES = [
