@@ -10,8 +10,9 @@ they are compared with all of the bucket outside their own components. In any ot
 central of the nodes left (the one with most bucket mates over all of its bands) is compared with all of the
 bucket outside its own component; links are then contracted to components, and the nodes left for the next
 round are those in no former pivot's component. So a group of copies, however large, costs one
-comparison for each copy and centre. Nodes that are left in large buckets after all rounds have been compared
-with as many centres of each of their buckets.
+comparison for each copy and centre. Buckets that were large in two rounds or more may then still hold pairs of
+different components that were never compared: these are all compared, block by block, so that no pair of a
+bucket is left out but those within one component.
 
 Defined results. Texts that are null or have no word are classes of their own. Rows with a null id are
 grouped with rows of equal words alone, unless such a row has an id. Repeated rows fall into one class. The
@@ -37,6 +38,8 @@ BANDS, ROWS = 10, 3
 SIMILARITY = 0.8
 #: Nodes outside the pivots' components up to which a bucket is finished exactly, by round.
 FEW = [4, 12, 24, 40]
+#: Nodes of a block, about, where a bucket's pairs are compared block by block.
+BLOCK = 128
 LEVELS = 1 << 12
 
 
@@ -152,6 +155,51 @@ def verified(pairs: DataFrame, content: DataFrame, weights: Weights, similarity:
     return both.mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def _between(members: DataFrame, hard: DataFrame, roots: DataFrame | None, n: int, n_roots: int, content: DataFrame, weights: Weights, similarity: float, size: int) -> DataFrame:
+    """Links (a, b, similarity) of all pairs in the hard buckets that are of different components. A component of
+    more than a block has blocks of its own, which aren't compared with each other."""
+    rows = join(members.select("bucket", "node"), hard, "bucket", rows=n)
+    rows = cut(rows.withColumn("root", F.col("node")) if roots is None else _rooted(rows, roots, n_roots), n)
+    per = rows.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+    own = F.col("c") > BLOCK
+    sums = per.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum(F.when(own, 0).otherwise(F.col("c"))).alias("rest")).filter("parts > 1")
+    per = join(per, sums, "bucket").select("bucket", "root", F.when(own, F.col("root")).otherwise(F.lit(b"")).alias("x"), F.ceil(F.when(own, F.col("c")).otherwise(F.col("rest")) / BLOCK).alias("blocks"))
+    dealt = cut(join(rows, per, ["bucket", "root"]).select("bucket", "node", "root", "x", F.pmod(F.xxhash64("node", "bucket"), "blocks").alias("i")), n)
+    blocks = dealt.select("bucket", "x", "i").distinct()
+    two = join(blocks, blocks.select("bucket", F.col("x").alias("y"), F.col("i").alias("j")), "bucket").filter("struct(x, i) <= struct(y, j) and (x != y or x = X'')")
+    two = cut(two)
+    texts = join(dealt, content, "node")
+    task = ["bucket", "x", "i", "y", "j"]
+    left = join(texts, two, ["bucket", "x", "i"]).select(*task, F.lit(0).alias("side"), "node", "root", "text")
+    right = join(texts.withColumnsRenamed({"x": "y", "i": "j"}), two.filter("x != y or i != j"), ["bucket", "y", "j"]).select(*task, F.lit(1).alias("side"), "node", "root", "text")
+    shared = members.sparkSession.sparkContext.broadcast(weights)
+
+    def run(t: pa.Table) -> pa.Table:
+        side, node, root = t.column("side").to_numpy(), t.column("node").to_pylist(), t.column("root").to_pylist()
+        bags = [shared.value.of(h, size) for h in text_words(t.column("text").to_pylist())]
+        total = np.array([w.sum() for _, w in bags])
+        alone = not side.any()  # a block with itself
+        others = np.flatnonzero(side == (0 if alone else 1))
+        keys, ws = (np.concatenate([bags[j][k] for j in others]) for k in (0, 1))
+        whose = np.repeat(np.arange(len(others)), [len(bags[j][0]) for j in others])
+        out = []
+        for i in np.flatnonzero(side == 0):
+            k, w = bags[i]
+            at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+            hit = k[at] == keys
+            both = np.bincount(whose[hit], np.minimum(w[at[hit]], ws[hit]), len(others))
+            for j in others[both >= (similarity - 1e-9) * (total[i] + total[others] - both)]:
+                if root[i] != root[j] and not (alone and node[i] > node[j]):
+                    s = weighted_jaccard(bags[i], bags[j])
+                    if s >= similarity:
+                        out.append((min(node[i], node[j]), max(node[i], node[j]), s))
+        a, b, s = zip(*out) if out else ((), (), ())
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(s, pa.float64())], ["a", "b", "similarity"])
+
+    found = left.unionByName(right).groupBy(*task).applyInArrow(run, "a binary, b binary, similarity double")
+    return cut(found.dropDuplicates(["a", "b"]))  # nodes may share several buckets
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of docs: id, class_id, n_links (verified links of the row's text to others),
     n_copies (rows of equal words)."""
@@ -177,13 +225,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield b.filter(pa.array(ok, pa.bool_()))
 
     content = cut(texts.select("node", "text").mapInArrow(same, "node binary, text string").groupBy("node").agg(F.min("text").alias("text")))
-    links, tried, roots, n_roots, n_tried = None, None, None, 0, 0
+    links, tried, roots, n_roots, n_tried, hard = None, None, None, 0, 0, None
     left = members.withColumn("root", F.col("node"))  # those that pivots are taken from
     for turn, few in enumerate(FEW):
         here = members.withColumn("root", F.col("node")) if roots is None else _rooted(members, roots, n_roots)
         heads = left.groupBy("bucket").agg(F.count("*").alias("m"), F.max(F.struct("score", "node", "root")).alias("p"))
         heads = cut(heads.select("bucket", "m", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root")), n)
         large = heads.filter(F.col("m") > few)
+        if turn == 1:  # one pivot leaves no pair of other components' nodes behind, two may
+            hard = large.select("bucket")
         last = join(left.select("bucket", "node", "root"), heads.filter(F.col("m") <= few), "bucket", rows=n).select("bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
         against = large.select("bucket", "pivot", "pivot_root").unionByName(last)
         pairs = join(here, against, "bucket", rows=n).filter("root != pivot_root").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
@@ -208,6 +258,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         release(docs.sparkSession)
         if left.isEmpty():
             break
+    if hard is not None:
+        more = _between(members, hard, roots, n, n_roots, content, weights, similarity, size)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(links)
     return _classes(signed, nodes, links, roots, id_col)
 
 

@@ -168,6 +168,41 @@ def test_large_group_of_near_copies(spark):
     assert all(got[i] == i for i in range(300, 900))
 
 
+def test_hot_buckets_against_all_pairs(spark):
+    """A template that many otherwise different texts share, with true pairs among them: every pair of a bucket counts."""
+    template, texts = fresh(80, "t"), []
+    for k in range(300):
+        own = fresh(14, f"h{k}_").split()
+        texts.append(f"{template} {' '.join(own)}")
+        if k % 2 == 0:  # 82 of 98 shingles in common; 76 are the template's
+            own[5] = own[8] = "changed"
+            texts.append(f"{template} {' '.join(own)}")
+    texts += [fresh(20, f"o{k}_") for k in range(4 * len(texts))]  # so that the template isn't common
+    docs = docs_of(spark, texts)
+    got = {x.doc_id: x.class_id for x in neardups.near_duplicates(docs).collect()}
+    w = shingles.Weights(*shingles.common_shingles(docs, "text"))
+    bags = [w.of(h) for h in shingles.text_words(texts)]
+    sample = neardups.Sampler(neardups.BANDS * neardups.ROWS)
+    buckets = defaultdict(list)
+    for i, b in enumerate(bags):
+        for key in neardups.band_keys(sample(*b), neardups.BANDS, neardups.ROWS).tolist():
+            buckets[key].append(i)
+    assert max(map(len, buckets.values())) > 100
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in {(x, y) for m in buckets.values() for k, x in enumerate(m) for y in m[k + 1 :]}:
+        if shingles.weighted_jaccard(bags[a], bags[b]) >= neardups.SIMILARITY:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    assert got == {i: root(i) for i in range(len(texts))}
+    assert sum(got[i] != i for i in got) > 100
+
+
 def test_keep_one(spark):
     docs = docs_of(spark, [PROSE[0], PROSE[0], PROSE[1], PROSE[1], None, ""], [3, 4, 5, 5, 6, 7]).unionByName(docs_of(spark, [PROSE[0]], [None]))
     kept = neardups.keep_one(docs)
