@@ -169,3 +169,46 @@ _add(
     "4294967296 - p_size AS wrapped, p_size <= 12 AND p_size + 3 >= 10 AS meets, CAST((p_size % 8) | ((CAST(p_size AS BIGINT) % 32) << 3) AS BIGINT) AS code FROM part",
 )
 _add("enumerate_ones", lambda a, b: _read(a, b, "part"), lambda p: p.select("p_partkey", B.enumerate_ones(F.col("p_size")).alias("bit")), "SELECT p_partkey, CAST(i AS INTEGER) AS bit FROM part, range(0, 32) AS x(i) WHERE ((CAST(p_size AS BIGINT) >> i) & 1) = 1")
+# Whole sequences: no bounds of positions, or ranges that are shares of the length and together cover it
+_N = "(SELECT count(*) FROM s)"
+W_EVENTS, W_TYPES = _window(EVENTS).replace(f" WHERE pos >= {FIRST} AND pos < {LAST}", ""), _window(TYPES).replace(f" WHERE pos >= {FIRST} AND pos < {LAST}", "")
+W_RUNS = RUNS.replace("least(en, 900) - greatest(st, 100) AS x FROM s WHERE st < 900 AND en > 100", "en - st AS x FROM s")
+
+
+def _shares(n: int) -> list[tuple[int, int]]:
+    return [(0, n // 2), (n // 4, 3 * n // 4), (n // 2, n)]
+
+
+def _shares_sql(having: str) -> str:
+    each = ", ".join(f"CAST(sum(CASE WHEN pos >= {a} AND pos < {b} THEN 1 ELSE 0 END) AS BIGINT) AS c{j}" for j, (a, b) in enumerate([("0", "n // 2"), ("n // 4", "3 * n // 4"), ("n // 2", "n")]))
+    return f"WITH s AS ({EVENTS}), l AS (SELECT count(*) AS n FROM s), g AS (SELECT sym, {each} FROM s, l GROUP BY sym) SELECT sym, c0 + c1 + c2 AS cnt, c0, c1, c2 FROM g WHERE {having}"
+
+
+def _cover(s: Sequence) -> DataFrame:
+    """A range for each 100 positions, of 100 to 340."""
+    i = F.col("id")
+    return s.df.sparkSession.range((s.length + 99) // 100).select(i.alias("rid"), (i * 100).alias("first"), F.least(F.lit(s.length).cast("long"), i * 100 + 100 + (i % 7) * 40).alias("last"), F.lit(5).cast("long").alias("off"))
+
+
+_COVER = f"SELECT CAST(i AS BIGINT) AS rid, CAST(i * 100 AS BIGINT) AS first, CAST(least({_N}, i * 100 + 100 + (i % 7) * 40) AS BIGINT) AS last, CAST(5 AS BIGINT) AS off FROM (SELECT unnest(range(0, ({_N} + 99) // 100)) AS i)"
+_add("whole_counts", events, lambda s: Q.counts(s, sort=True), W_EVENTS + "SELECT sym, cnt FROM h")
+_add("whole_counts_ignore_bits", events, lambda s: Q.counts(s, ignore_bits=3), W_EVENTS + "SELECT (sym >> 3) << 3 AS sym, count(*) AS cnt FROM w GROUP BY 1")
+_add("whole_rank", events, lambda s: Q.rank(s, 7), W_EVENTS + "SELECT count(*) AS cnt FROM w WHERE sym = 7")
+_add("whole_rank_batch", events, lambda s: Q.rank_batch(s, [3, 3, 7, 9, 100000]), W_EVENTS + f"SELECT q.sym, count(w.pos) AS cnt FROM (SELECT DISTINCT CAST(sym AS BIGINT) AS sym FROM {_values([3, 3, 7, 9, 100000], 'sym')}) q LEFT JOIN w ON w.sym = q.sym GROUP BY q.sym")
+_add("whole_count_less_than", events, lambda s: Q.count_less_than(s, 40), W_EVENTS + "SELECT count(*) AS cnt FROM w WHERE sym < 40")
+_add("whole_count", events, lambda s: Q.count(s, 10, 40), W_EVENTS + "SELECT count(*) AS cnt FROM w WHERE sym >= 10 AND sym < 40")
+_add("whole_quantile", events, lambda s: Q.quantile(s, s.length // 2), W_EVENTS + f"SELECT sym, cnt FROM r WHERE lo <= {_N} // 2 AND {_N} // 2 < hi")
+_add("whole_quantile_batch", events, lambda s: Q.quantile_batch(s, list(range(0, s.length, max(1, s.length // 50)))), W_EVENTS + f"SELECT r.sym, r.cnt, count(*) AS num_offsets FROM (SELECT unnest(range(0, {_N}, greatest(1, {_N} // 50))) AS off) JOIN r ON r.lo <= off AND off < r.hi GROUP BY r.sym, r.cnt")
+_add("whole_quantiles", events, lambda s: Q.quantiles(s, 0, s.length), W_EVENTS + "SELECT sym, cnt FROM r")
+_add("whole_majority", types, lambda s: Q.majority(s, 5), W_TYPES + f"SELECT sym, cnt FROM h WHERE cnt > {_N} // 5")
+_add("whole_top_k", events, lambda s: Q.top_k(s, 5), W_EVENTS + "SELECT sym, cnt FROM h ORDER BY cnt DESC, sym LIMIT 5")
+_add("whole_most_frequent", events, lambda s: Q.most_frequent(s, 2), W_EVENTS + f", m AS (SELECT max(user_id) + 1 AS a FROM events), t AS (SELECT i, {_N} // (2 << i) AS x FROM range(0, 40) AS y(i), m WHERE i = 0 OR (2 << i) <= a), e AS (SELECT coalesce((SELECT x FROM t WHERE (SELECT count(*) FROM h WHERE cnt > x) >= 2 ORDER BY i LIMIT 1), 0) AS x) SELECT sym, cnt FROM h, e WHERE cnt > e.x".replace("(2 << i)", "CAST(2 * pow(2, i) AS BIGINT)"))
+_add("whole_select", events, lambda s: Q.select(s, 7, 3), W_EVENTS + "SELECT coalesce(max(pos), -1) AS pos FROM (SELECT pos, row_number() OVER (ORDER BY pos) AS n FROM w WHERE sym = 7) WHERE n = 3")
+_add("whole_union", events, lambda s: Q.union(s, _shares(s.length)), _shares_sql("c0 > 0 OR c1 > 0 OR c2 > 0"))
+_add("whole_intersect", events, lambda s: Q.intersect(s, _shares(s.length)), _shares_sql("c0 > 0 AND c1 > 0 AND c2 > 0"))
+_add("whole_difference", events, lambda s: Q.difference(s, _shares(s.length)), _shares_sql("c0 > 0 AND c1 = 0 AND c2 = 0"))
+_add("whole_set_op", events, lambda s: Q.set_op(s, _shares(s.length), lambda c: c[0] + c[2] > c[1]), _shares_sql("c0 + c2 > c1"))
+_add("whole_runs_counts", order_runs, lambda s: Q.counts(s), W_RUNS + "SELECT sym, cnt FROM h")
+_add("whole_runs_quantile", order_runs, lambda s: Q.quantile(s, s.length // 2), W_RUNS + "SELECT sym, cnt FROM r WHERE lo <= (SELECT sum(cnt) FROM h) // 2 AND (SELECT sum(cnt) FROM h) // 2 < hi")
+_add("whole_counts_batch", events, lambda s: Q.counts_batch(s, _cover(s)), f"WITH s AS ({EVENTS}), q AS ({_COVER}) SELECT rid, sym, count(*) AS cnt FROM s JOIN q ON pos >= first AND pos < last GROUP BY rid, sym")
+_add("whole_quantile_ranges", orders, lambda s: Q.quantile_ranges(s, _cover(s)), f"WITH s AS ({ORDERS}), q AS ({_COVER}), h AS (SELECT rid, sym, off, count(*) AS cnt FROM s JOIN q ON pos >= first AND pos < last GROUP BY rid, sym, off), r AS (SELECT *, sum(cnt) OVER (PARTITION BY rid ORDER BY sym) AS hi FROM h) SELECT rid, sym, cnt FROM r WHERE hi > off AND hi - cnt <= off")
