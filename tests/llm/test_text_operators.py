@@ -133,6 +133,18 @@ def test_many_copies_make_few_pairs(spark):
     assert {r.class_id for r in rows} == {0} and {r.doc_id for r in rows} == set(range(1, n)) and len(rows) <= 3 * n
 
 
+def test_passage_whose_part_comes_before():
+    passage = fresh(70, "p").split()
+    a = passage[:45] + fresh(400, "a").split() + passage + fresh(50, "b").split() + passage[20:50]
+    b = fresh(90, "c").split() + passage + fresh(90, "d").split()
+    of = lambda t: shingles.shingle_hashes(next(shingles.text_words([" ".join(t)])))
+    how = dict(min_words=50, size=5, similarity=0.8)
+    assert passages.shared_passages(of(a), of(b), **how) == [(445, 515, 90, 160, 1.0)]
+    assert passages.shared_passages(of(b), of(a), **how) == [(90, 160, 445, 515, 1.0)]
+    assert passages.shared_passages(of(["x"] * 5000), of(["x"] * 5000 + b), **how)
+    assert passages.shared_passages(of(passage[:45] * 3), of(fresh(90, "e").split() + passage[:45]), **how) == []
+
+
 # Near-duplicates
 
 
