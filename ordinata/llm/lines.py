@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, bounded_batches, cut
+from .common import WS, Split, cut, map_arrow
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -159,7 +159,7 @@ def count_lines(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
                     found.clear()
         yield from out()
 
-    pairs = bounded_batches(docs).select(docs[text_col].cast("string").alias("t")).mapInArrow(run, "h1 long, h2 long, n long")
+    pairs = map_arrow(docs.select(docs[text_col].cast("string").alias("t")), run, "h1 long, h2 long, n long")
     return pairs.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
@@ -211,7 +211,7 @@ def _probe(docs: DataFrame, group: dict[int, bytes], shards: int, limit: int, mi
                 yield pa.record_batch([b.column(0), pa.array(kept, pa.string()), pa.array([len(m) for m in out], pa.int64()), pa.array([int(m.sum()) for m in out], pa.int64())], ["row", "text", "n_lines", "n_dropped"])
 
     kind = docs.schema["row"].dataType.simpleString()
-    return bounded_batches(docs).mapInArrow(run, f"row {kind}, text string, " + ("n_lines long, n_dropped long" if last else "mask binary"))
+    return map_arrow(docs, run, f"row {kind}, text string, " + ("n_lines long, n_dropped long" if last else "mask binary"))
 
 
 def dedup_lines(docs: DataFrame, *, text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, group_bytes: int = GROUP_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
@@ -229,14 +229,12 @@ def dedup_lines(docs: DataFrame, *, text_col: str = "text", min_docs: int = MIN_
             total = 0
         groups[-1].append(shard)
         total += size
-    names = docs.columns
-    flat = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    rows = flat.select(F.struct(*flat.columns).alias("row"), F.col(f"c{names.index(text_col)}").cast("string").alias("text"), F.lit(None).cast("binary").alias("mask"))
+    split = Split(docs, text_col)
+    rows = split.rows.withColumn("mask", F.lit(None).cast("binary"))
     for k, group in enumerate(groups):
         data = {r["shard"]: bytes(r["data"]) for r in index.filter(F.col("shard").isin(group)).collect()} if group else {}  # at most group_bytes
         rows = _probe(rows, data, shards, min_docs, min_chars, last=k == len(groups) - 1)
         if k % 4 == 3 and k < len(groups) - 1:
             rows = cut(rows)
-    at = names.index(text_col)
-    old = [(F.col("text") if i == at else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(names) if c not in ("n_lines", "n_dropped")]
+    old = [c for c, name in zip(split.columns(), split.names) if name not in ("n_lines", "n_dropped")]
     return rows.select(*old, "n_lines", "n_dropped")
