@@ -14,9 +14,9 @@ comparison for each copy and centre. Buckets that were large in two rounds or mo
 different components that were never compared: these are all compared, block by block, so that no pair of a
 bucket is left out but those within one component.
 
-Defined results. Texts that are null or have no word are classes of their own. Rows with a null id are
-grouped with rows of equal words alone, unless such a row has an id. Repeated rows fall into one class. The
-class id is the least id in the class. An empty table gives no rows.
+Defined results. Texts that are null or have no word are classes of their own. Rows with a null id are compared
+like all others. Repeated rows fall into one class. The class id is the least id in the class, null if there is
+none. An id may stand for several texts. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, join, release
+from .common import bounded_batches, cut, discard, join, map_arrow
 from .components import components
 from .shingles import WORDS, Weights, common_shingles, text_key, text_words, weighted_jaccard
 
@@ -124,7 +124,7 @@ def signatures(docs: DataFrame, weights: Weights, *, id_col: str, text_col: str,
                 yield pa.record_batch([b.column(0), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "bands"])
 
     rows_ = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    return rows_.mapInArrow(run, f"id {rows_.schema['id'].dataType.simpleString()}, node binary, bands array<long>")
+    return map_arrow(rows_, run, f"id {rows_.schema['id'].dataType.simpleString()}, node binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, content: DataFrame, weights: Weights, similarity: float, size: int = WORDS) -> DataFrame:
@@ -152,7 +152,7 @@ def verified(pairs: DataFrame, content: DataFrame, weights: Weights, similarity:
                 ok = pa.array(s >= similarity)
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(s)], ["a", "b", "similarity"]).filter(ok)
 
-    return both.mapInArrow(run, "a binary, b binary, similarity double")
+    return map_arrow(both, run, "a binary, b binary, similarity double")
 
 
 def _between(members: DataFrame, hard: DataFrame, roots: DataFrame | None, n: int, n_roots: int, content: DataFrame, weights: Weights, similarity: float, size: int) -> DataFrame:
@@ -200,12 +200,43 @@ def _between(members: DataFrame, hard: DataFrame, roots: DataFrame | None, n: in
     return cut(found.dropDuplicates(["a", "b"]))  # nodes may share several buckets
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, text) to (row, text, key), the key of the text's words; null without words."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 512):
+            b = whole.slice(lo, 512)
+            keys = [text_key(h) if len(h) else None for h in text_words(b.column(1).to_pylist())]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(keys, pa.binary())], ["row", "text", "key"])
+
+
+def _keyed(rows: DataFrame, row: Column, text: Column) -> DataFrame:
+    picked = rows.select(row.alias("row"), text.alias("text"))
+    return map_arrow(picked, _with_key, f"row {picked.schema['row'].dataType.simpleString()}, text string, key binary")
+
+
+def _contents(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) for nodes (node, least); a node without an id is found by its words."""
+    rows = docs.select("id", F.col("text").cast("string").alias("text"))
+    by_id = join(rows, nodes.filter("least is not null").select(F.col("least").alias("id"), "node"), "id")
+    by_id = _keyed(by_id, F.col("node"), F.col("text")).filter("row = key").select("key", "text")
+    other = _keyed(rows.filter("id is null"), F.lit(0), F.col("text")).select("key", "text")
+    other = join(other, nodes.filter("least is null").select(F.col("node").alias("key")), "key")
+    return by_id.unionByName(other).groupBy(F.col("key").alias("node")).agg(F.min("text").alias("text"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row for each row of docs: id, class_id, n_links (verified links of the row's text to others),
     n_copies (rows of equal words)."""
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    return _grouped(rows, **how).select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies")
+
+
+def _grouped(docs: DataFrame, *, similarity: float = SIMILARITY, size: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """docs: (id, text). For each row id, node (null without words), first (the node that stands for the class),
+    class_id, n_links, n_copies."""
     bounded_batches(docs)
-    weights = Weights(*common_shingles(docs, text_col, size))
-    signed = cut(signatures(docs, weights, id_col=id_col, text_col=text_col, size=size, bands=bands, rows=rows))
+    weights = Weights(*common_shingles(docs, "text", size))
+    signed = cut(signatures(docs, weights, id_col="id", text_col="text", size=size, bands=bands, rows=rows))
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.min("bands").alias("bands"), F.count("*").alias("n_copies"))
     nodes = cut(nodes)
     # buckets of two nodes or more, and each node's number of mates
@@ -216,15 +247,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = join(members, score, "node").select("bucket", "node", "score")
     n = members.count()
     members = cut(members, n)
-    kept = join(nodes, members.select("node").distinct(), "node", "left_semi").select(F.col("least").alias("id"), "node")
-    texts = join(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")), kept, "id")
-
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # an id may stand for several texts
-            ok = [text_key(h) == n for h, n in zip(text_words(b.column(1).to_pylist()), b.column(0).to_pylist())]
-            yield b.filter(pa.array(ok, pa.bool_()))
-
-    content = cut(texts.select("node", "text").mapInArrow(same, "node binary, text string").groupBy("node").agg(F.min("text").alias("text")))
+    content = cut(_contents(docs, join(nodes, members.select("node").distinct(), "node", "left_semi").select("least", "node")))
     links, tried, roots, n_roots, n_tried, hard = None, None, None, 0, 0, None
     left = members.withColumn("root", F.col("node"))  # those that pivots are taken from
     for turn, few in enumerate(FEW):
@@ -255,7 +278,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         else:
             big = big.withColumn("root", F.col("node")).withColumn("pivot_root", F.col("pivot"))
         left = cut(big.filter("root != pivot_root").select("bucket", "node", "score", "root"), n)
-        release(docs.sparkSession)
         if left.isEmpty():
             break
     if hard is not None:
@@ -263,36 +285,51 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = components(links)
-    return _classes(signed, nodes, links, roots, id_col)
+    discard(content)
+    return _classes(signed, nodes, links, roots)
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row of each class, the one of the least id, with the columns of docs; of repeated rows one stays.
-    Rows with a null id can't be told apart and stay."""
+    """One row of each class, of the least id, with the columns of docs; of repeated rows one stays. Rows without
+    words stay, but for repeated ones of an id."""
     names = docs.columns
     flat = docs.toDF(*(f"c{i}" for i in range(len(names))))
     i, t = (f"c{names.index(c)}" for c in (id_col, text_col))
-    classes = near_duplicates(flat.select(F.col(i).alias("id"), F.col(t).alias("text")), id_col="id", text_col="text", **how)
-    first = classes.filter("id = class_id").select(F.col("id").alias(i)).distinct()
-    with_id = join(flat.filter(F.col(i).isNotNull()), first, i, "left_semi")
-    w = W.partitionBy(i).orderBy(F.xxhash64(t), F.xxhash64(*flat.columns))
-    once = with_id.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-    return once.select(*flat.columns).unionByName(flat.filter(F.col(i).isNull())).toDF(*names)
+    classes = _grouped(flat.select(F.col(i).alias("id"), F.col(t).cast("string").alias("text")), **how)
+    key = F.coalesce("node", F.lit(b"")).alias("_node")
+    texts = classes.filter("id is not null").groupBy("id").agg(F.count_distinct(key).alias("n"))
+    kept = classes.filter(F.col("id").eqNullSafe(F.col("class_id")) & F.col("node").eqNullSafe(F.col("first"))).select("id", key).distinct()
+    kept = cut(join(kept, texts, "id").select(F.col("id").alias(i), "_node", "n"))
+    with_id, text = flat.filter(F.col(i).isNotNull()), F.col(t).cast("string")
+    one = join(with_id, kept.filter("n = 1").drop("n"), i)
+    # an id of several texts: its rows are told apart by their words
+    several = join(with_id, texts.filter("n > 1").select(F.col("id").alias(i)), i, "left_semi")
+    odd = _keyed(several, F.struct(*flat.columns), text).select("row.*", F.coalesce("key", F.lit(b"")).alias("_node"))
+    odd = join(odd, kept.filter("n > 1").drop("n"), [i, "_node"])
+    w = W.partitionBy(i, "_node").orderBy(F.xxhash64(t), F.xxhash64(*flat.columns))
+    once = one.unionByName(odd).withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*flat.columns)
+    lone = classes.filter("id is null and class_id is null and node is not null and node = first").select("node").distinct()
+    none = _keyed(flat.filter(F.col(i).isNull()), F.struct(*flat.columns), text)
+    w = W.partitionBy("key").orderBy(F.xxhash64("row"))
+    first = join(none.filter("key is not null"), lone.select(F.col("node").alias("key")), "key").withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("row.*")
+    return once.unionByName(first).unionByName(none.filter("key is null").select("row.*")).toDF(*names)
 
 
 def _rooted(rows: DataFrame, roots: DataFrame, n: int | None = None) -> DataFrame:
     return join(rows, roots, "node", "left", n).withColumn("root", F.coalesce("root", "node"))
 
 
-def _classes(signed: DataFrame, nodes: DataFrame, links: DataFrame, roots: DataFrame | None, id_col: str) -> DataFrame:
+def _classes(signed: DataFrame, nodes: DataFrame, links: DataFrame, roots: DataFrame | None) -> DataFrame:
+    rooted = nodes.withColumn("root", F.col("node")) if roots is None else _rooted(nodes, roots)
+    # the class's first node: of the least id, ids before none
+    best = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("class_id"), F.col("node").alias("first")))
+    ids = rooted.groupBy("root").agg(best.alias("x")).select("root", "x.class_id", "x.first")
+    per = join(rooted, ids, "root").select("node", "class_id", "first", "n_copies")
     if roots is None:
-        per = nodes.select("node", F.col("least").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_copies")
+        per = per.withColumn("n_links", F.lit(0).cast("long"))
     else:
         ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-        rooted = _rooted(nodes, roots)
-        ids = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
-        per = join(join(rooted, ids, "root"), ends, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    # texts without words have no node
-    lone = signed.filter("node is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
-    out = join(signed.filter("node is not null").select("id", "node"), per, "node").select("id", "class_id", "n_links", "n_copies").unionByName(lone)
-    return out.withColumnRenamed("id", id_col)
+        per = join(per, ends, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    per = cut(per)  # so that the join with its rows can split a node of very many copies
+    lone = signed.filter("node is null").select("id", "node", F.col("node").alias("first"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    return join(signed.filter("node is not null").select("id", "node"), per, "node").select("id", "node", "first", "class_id", "n_links", "n_copies").unionByName(lone)

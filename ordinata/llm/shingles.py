@@ -16,31 +16,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, map_arrow
+
 WORDS = 5
-#: A shingle in at most this share of all documents has full weight; weights fall from there on.
-COMMON_SHARE = 0.2
+#: A shingle that at most this share of all documents have has full weight; weights fall from there on.
+COMMON_SHARE = 0.01
+#: Weight of a shingle that all documents have, all but a little.
+LEAST_WEIGHT = 0.5
+#: Keys of texts that a task remembers, so that copies count once.
+TEXTS = 200_000
+#: Summaries that are merged at once.
+FAN_IN = 16
 #: Counters of a summary of frequent shingles, at least.
 COUNTERS = 16384
-#: Words whose hashes a worker keeps.
-MAX_WORDS = 300_000
 MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 2**64) for k in range(64)], np.uint64)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-
-
 #: Bytes of texts that are hashed at once.
 CHUNK = 250_000
 _base = 0x9E3779B97F4A7C15
@@ -56,18 +47,18 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * CHUNK, np.uint64(b))])) for b in (_base, pow(_base, -1, 2**64)))
 
 
-def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(first byte, hash) of each word: differences of prefix sums of letter * base**place, moved to place 0."""
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, last byte, hash) of each word: differences of prefix sums of letter * base**place, moved to place 0."""
     c = np.frombuffer(data, np.uint8)
     if not len(c):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     power, inverse = _powers()
     blank = _blank[c]
     first = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     last = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]]))
     sums = np.cumsum(_letter[c] * power[: len(c)])
     h = sums[last] - np.where(first > 0, sums[np.maximum(first, 1) - 1], np.uint64(0))
-    return first, mix(h * inverse[first] + (last - first).astype(np.uint64))
+    return first, last, mix(h * inverse[first] + (last - first).astype(np.uint64))
 
 
 def text_words(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -77,7 +68,7 @@ def text_words(texts: list[str | None]) -> Iterator[np.ndarray]:
 
     def out():
         ends = np.cumsum([len(x) + 1 for x in group])
-        first, h = _hashed(b"\n".join(group))
+        first, _, h = _hashed(b"\n".join(group))
         return np.split(h, np.searchsorted(first, ends[:-1])) if len(group) > 1 else [h]
 
     for t in texts:
@@ -87,7 +78,7 @@ def text_words(texts: list[str | None]) -> Iterator[np.ndarray]:
                 yield from out()
                 group, held = [], 0
         if len(data) > CHUNK:
-            yield np.concatenate([_hashed(x)[1] for x in _pieces(data)])
+            yield word_places(data)[2]
         else:
             group.append(data)
             held += len(data) + 1
@@ -95,15 +86,21 @@ def text_words(texts: list[str | None]) -> Iterator[np.ndarray]:
         yield from out()
 
 
-def _pieces(data: bytes) -> Iterator[bytes]:
-    """Pieces of at most CHUNK bytes, cut at blanks; a longer word is cut as it comes."""
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, byte after the last, hash) of each word of a text of any length."""
+    parts = [(first + lo, last + lo + 1, h) for lo, piece in _pieces(data) for first, last, h in [_hashed(piece)]]
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def _pieces(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """Pieces of at most CHUNK bytes, with their places, cut at blanks; a longer word is cut as it comes."""
     lo = 0
     while lo < len(data):
         hi = lo + CHUNK
         if hi < len(data):
             at = max(data.rfind(x, lo + 1, hi) for x in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
             hi = at if at > lo else hi
-        yield data[lo:hi]
+        yield lo, data[lo:hi]
         lo = hi
 
 
@@ -165,15 +162,17 @@ def counters(docs: int, total: int) -> int:
 
 
 def common_shingles(docs: DataFrame, text_col: str, size: int = WORDS, share: float = COMMON_SHARE) -> tuple[int, dict[int, int]]:
-    """(documents, exact document counts of the shingles that more than this share of all documents have).
-    Each task keeps a mergeable Misra-Gries summary, which can't miss such a shingle; if any candidate is
-    left after merging, a second pass counts the candidates exactly. There are at most as many as
+    """(documents, in how many distinct texts each shingle is, of those in more than this share of all
+    documents). Texts of equal words count once, so that copies of a document don't make its shingles common.
+    Each task keeps a mergeable Misra-Gries summary, which can't miss such a shingle; summaries are merged as
+    a tree. A second pass counts the candidates left exactly, by text. There are at most as many as
     ``counters``, so what reaches the driver has a bound."""
-    texts = docs.select(docs[text_col].cast("string").alias("t"), F.spark_partition_id().alias("p"))
+    texts = docs.select(docs[text_col].cast("string").alias("t"), F.spark_partition_id().cast("long").alias("p"))
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = total = lost = part = held = 0
         keys, counts, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+        seen: set[bytes] = set()
 
         def add() -> None:
             nonlocal keys, counts, waiting, held, lost
@@ -188,8 +187,13 @@ def common_shingles(docs: DataFrame, text_col: str, size: int = WORDS, share: fl
             for lo in range(0, b.num_rows, 512):
                 part = b.column(1)[lo].as_py()
                 for h in text_words(b.column(0).slice(lo, 512).to_pylist()):
-                    s = np.unique(shingle_hashes(h, size))
                     n += 1
+                    if (key := text_key(h)) in seen:
+                        continue
+                    if len(seen) >= TEXTS:
+                        seen.clear()
+                    seen.add(key)
+                    s = np.unique(shingle_hashes(h, size))
                     total += len(s)
                     waiting.append(s)
                     held += len(s)
@@ -201,42 +205,66 @@ def common_shingles(docs: DataFrame, text_col: str, size: int = WORDS, share: fl
             yield _row(part, n, total, lost + cut, keys, counts)
 
     def merge(t: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_row(0, *_merged(t.to_pylist()))])
-
-    parts = texts.mapInArrow(summary, SUMMARY)
-    some = parts.withColumn("g", F.pmod(F.col("part"), F.lit(16))).groupBy("g").applyInArrow(merge, SUMMARY).collect()
-    n, total, lost, keys, counts = _merged([r.asDict() for r in some])
+        return pa.Table.from_batches([_row(t.column("part")[0].as_py(), *_merged(t.to_pylist()))])
+
+    parts = cut(map_arrow(texts, summary, SUMMARY))
+    tasks = (parts.agg(F.max("part")).first()[0] or 0) + 1
+    while tasks > FAN_IN:
+        tasks = math.ceil(tasks / FAN_IN)
+        parts = cut(parts.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part").applyInArrow(merge, SUMMARY))
+    n, total, lost, keys, counts = _merged([r.asDict() for r in parts.collect()])  # FAN_IN rows at most
     maybe = np.sort(keys[counts + lost > share * n])
-    if not n or not len(maybe) or n < 2 / share:
+    if not n or not len(maybe):
         return n, {}
     sent = docs.sparkSession.sparkContext.broadcast(maybe.tobytes())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def which(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(text, its candidates as places in maybe)."""
         want = np.frombuffer(sent.value, np.uint64)
         near = np.zeros(1 << 20, bool)
         near[want >> np.uint64(44)] = True
-        found = np.zeros(len(want), np.int64)
+        seen: set[bytes] = set()
         for b in batches:
             for lo in range(0, b.num_rows, 512):
+                nodes, found = [], []
                 for h in text_words(b.column(0).slice(lo, 512).to_pylist()):
                     s = shingle_hashes(h, size)
-                    s = np.unique(s[near[s >> np.uint64(44)]])
+                    s = s[near[s >> np.uint64(44)]]
                     at = np.minimum(np.searchsorted(want, s), len(want) - 1)
-                    found[at[want[at] == s]] += 1
-        some = np.flatnonzero(found)
-        yield pa.record_batch([pa.array(want[some].view(np.int64)), pa.array(found[some])], ["h", "n"])
-
-    exact = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > share * n).collect()
+                    at = np.unique(at[want[at] == s])
+                    if not len(at) or (key := text_key(h)) in seen:
+                        continue
+                    if len(seen) >= TEXTS:
+                        seen.clear()
+                    seen.add(key)
+                    nodes.append(key)
+                    found.append(at.astype(np.uint32).tobytes())
+                yield pa.record_batch([pa.array(nodes, pa.binary()), pa.array(found, pa.binary())], ["node", "found"])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        want = np.frombuffer(sent.value, np.uint64)
+        count = np.zeros(len(want), np.int64)
+        for b in batches:
+            if b.num_rows:
+                at = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32)
+                count += np.bincount(at, minlength=len(want))
+        some = np.flatnonzero(count)
+        yield pa.record_batch([pa.array(want[some].view(np.int64)), pa.array(count[some])], ["h", "n"])
+
+    each = map_arrow(texts, which, "node binary, found binary").groupBy("node").agg(F.first("found").alias("found")).select("found")
+    exact = map_arrow(each, tally, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > share * n).collect()
     return n, {r["h"] % 2**64: r["n"] for r in exact}
 
 
 class Weights:
-    """TF-IDF with a capped IDF: 1 for shingles in at most COMMON_SHARE of all documents, less for others. Without
-    the cap, edits (unique shingles) of copies in a large group would outweigh all that the copies share."""
+    """TF-IDF with a smoothed IDF: 1 for shingles of at most COMMON_SHARE of all documents, and less down to
+    LEAST_WEIGHT, by the logarithm of the share, for others. Without these bounds, edits (unique shingles) of near
+    copies in a large group would outweigh all that the copies share."""
 
     def __init__(self, n: int, common: dict[int, int], share: float = COMMON_SHARE):
         self.keys = np.array(sorted(common), np.uint64)
-        self.idf = np.array([min(1.0, math.log(1 + n / common[k]) / math.log(1 + 1 / share)) for k in sorted(common)])
+        idf = [min(1.0, math.log(1 + n / common[k]) / math.log(1 + 1 / share)) for k in sorted(common)]
+        self.idf = LEAST_WEIGHT + (1 - LEAST_WEIGHT) * np.array(idf, np.float64)
 
     def of(self, h: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
         """(distinct shingles in order, weights) of a text's word hashes."""
