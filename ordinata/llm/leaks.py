@@ -12,12 +12,14 @@ Items go to the executors in groups of bounded size, one pass over the documents
 Defined results. A null or empty text has no leaks. Null items, and items of fewer than q characters, leak
 nowhere. Items with equal text are reported each. Overlapping occurrences of an item count once, the best
 first. Offsets are code points of the text as given. Repeated rows are judged each. An empty benchmark or
-table gives no leaks. Very long texts are searched in overlapping pieces.
+table gives no leaks. Very long texts are searched in pieces of their joined characters, which overlap by more
+than any occurrence takes. Where q-grams repeat a lot, places are counted part by part, so that memory is bounded.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut
+from .common import Split, cut, map_arrow
 
 Q = 8
 EDIT_SHARE = 0.08
 #: Characters of items that are sent to the executors at once.
 GROUP_CHARS = 4_000_000
-#: Characters that a worker searches at once.
-PIECE = 1_000_000
+#: Characters that a worker searches at once, and pairs of equal q-grams' places that it counts at once.
+PIECE, PAIRS = 1_000_000, 2_000_000
 LEAK = "array<struct<item:string,start:long,end:long,edits:long>>"
 LEAK_TYPE = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
 BASE = 0x9E3779B97F4A7C15
@@ -41,21 +43,30 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
 def lowered(text: str) -> str:
+    """Lower case, character by character: neither case nor length depends on what stands beside a character."""
     low = text.lower()
     if len(low) != len(text):
         low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
-    return low
+    return low.replace("\u03c2", "\u03c3")  # the two small sigmas
+
+
+def normal_pieces(text: str, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(code points with blanks joined, their offsets in the text) of each size characters."""
+    before = True  # so that blanks in front go
+    for lo in range(0, len(text), size):
+        c = np.frombuffer(lowered(text[lo : lo + size]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        blank = BLANK[np.minimum(c, 63)]
+        keep = np.flatnonzero(~(blank & np.concatenate([[before], blank[:-1]])))
+        before = bool(blank[-1])
+        yield np.where(blank, np.uint32(32), c)[keep], keep + lo
 
 
 def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Code points with blanks joined, and their offsets in the text."""
-    c = np.frombuffer(lowered(text).encode("utf-32-le", "surrogatepass"), np.uint32)
-    blank = BLANK[np.minimum(c, 63)]
-    keep = np.flatnonzero(~(blank & np.concatenate([[True], blank[:-1]]))) if len(c) else np.zeros(0, np.int64)
-    out = np.where(blank, np.uint32(32), c)[keep]
-    if len(out) and out[-1] == 32:
-        out, keep = out[:-1], keep[:-1]
-    return out, keep
+    """The whole text's, without blanks at its end."""
+    parts = list(normal_pieces(text, PIECE)) or [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+    out, keep = (np.concatenate(x) for x in zip(*parts))
+    end = len(out) - (len(out) > 0 and out[-1] == 32)
+    return out[:end], keep[:end]
 
 
 def qgrams(c: np.ndarray, q: int) -> np.ndarray:
@@ -132,35 +143,53 @@ class Index:
     def bands(self, c: np.ndarray) -> list[tuple[int, int]]:
         """(item, first diagonal) of bands that hold enough shared q-grams; c may hold many texts, set apart
         by characters that no item has."""
+        if not len(self.keys):
+            return []
         h = qgrams(c, self.q)
         at = np.flatnonzero(self.seen[self._slot(h)])
-        if not len(at) or not len(self.keys):
-            return []
         k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         same = self.keys[k] == h[at]
         at, k = at[same], k[same]
-        n = self.count[k]
-        which = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        item = self.item[which]
-        diagonal = np.repeat(at, n) - self.pos[which] + self.reach  # never negative
-        band = diagonal // self.step[item]
+        if not len(at):
+            return []
+        if self.count[k].sum() > PAIRS and len(c) > 8 * self.reach:  # each band lies within one half, or the other
+            mid = len(c) // 2
+            return self.bands(c[: mid + self.reach]) + [(item, first + mid - self.reach) for item, first in self.bands(c[mid - self.reach :])]
         wide = np.int64(len(c) + 2 * self.reach + 2)
-        key, count = np.unique(np.concatenate([item * wide + band, item * wide + np.maximum(band - 1, 0)]), return_counts=True)
-        keep = count >= self.needed[key // wide]
-        return [(int(x // wide), int(x % wide) * int(self.step[x // wide]) - self.reach) for x in key[keep]]
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ends = np.cumsum(self.count[k])
+        cuts = np.unique(np.searchsorted(ends, np.arange(PAIRS, int(ends[-1]), PAIRS), "left") + 1).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, len(k)]):
+            here, place = k[lo:hi], at[lo:hi]
+            n = self.count[here]
+            which = np.repeat(self.first[here] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            item = self.item[which]
+            diagonal = np.repeat(place, n) - self.pos[which] + self.reach  # never negative
+            band = diagonal // self.step[item]
+            new, many = np.unique(np.concatenate([item * wide + band, item * wide + np.maximum(band - 1, 0)]), return_counts=True)
+            keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([counts, many]), len(keys)).astype(np.int64)
+        keep = counts >= self.needed[keys // wide]
+        return [(int(x // wide), int(x % wide) * int(self.step[x // wide]) - self.reach) for x in keys[keep]]
 
     def search(self, texts: list[str]) -> list[list[tuple[str, int, int, int]]]:
         """Leaks (item, start, end, edits) of each text, in code points of the text."""
         found: list[list[tuple[str, int, int, int]]] = [[] for _ in texts]
         whole, size = [], 0
         for k, text in enumerate(texts):
-            for lo in range(0, max(1, len(text)), PIECE):
-                piece = text[lo : lo + PIECE + 2 * self.reach]
-                whole.append((k, lo, *normal(piece)))
-                size += len(piece)
-                if size >= PIECE:
+            c, offset = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+            for more, where in normal_pieces(text, PIECE):
+                if len(c) >= PIECE:  # what is searched now overlaps with what comes
+                    whole.append((k, c, offset))
                     self._search(whole, found)
                     whole, size = [], 0
+                    c, offset = c[-2 * self.reach :], offset[-2 * self.reach :]
+                c, offset = np.concatenate([c, more]), np.concatenate([offset, where])
+            whole.append((k, c, offset))
+            size += len(c)
+            if size >= PIECE:
+                self._search(whole, found)
+                whole, size = [], 0
         self._search(whole, found)
         return [self._apart(x) for x in found]
 
@@ -168,13 +197,13 @@ class Index:
         if not parts:
             return
         gap = np.zeros(1, np.uint32)
-        ends = np.cumsum([len(c) + 1 for _, _, c, _ in parts])
-        for item, diagonal in self.bands(np.concatenate([x for _, _, c, _ in parts for x in (c, gap)])):
+        ends = np.cumsum([len(c) + 1 for _, c, _ in parts])
+        for item, diagonal in self.bands(np.concatenate([x for _, c, _ in parts for x in (c, gap)])):
             x, k, step = self.chars[item], int(self.edits[item]), int(self.step[item])
             # an occurrence may begin in one part and the band lie partly in the one before
             p0, p1 = (int(np.searchsorted(ends, min(max(0, v), int(ends[-1]) - 1), "right")) for v in (diagonal - k, diagonal + 2 * step + k + len(x)))
             for p in range(p0, p1 + 1):
-                who, lo, c, offset = parts[p]
+                who, c, offset = parts[p]
                 base = int(ends[p]) - len(c) - 1
                 first, last = diagonal - base - k, diagonal - base + 2 * step + k
                 a = max(0, first - k)
@@ -184,7 +213,7 @@ class Index:
                 start, end, edits = self._verify(item, near, first - a, last - a)
                 if edits > k:
                     continue
-                found[who].append((self.names[item], lo + int(offset[a + start]), lo + int(offset[a + end - 1]) + 1, edits))
+                found[who].append((self.names[item], int(offset[a + start]), int(offset[a + end - 1]) + 1, edits))
 
     def _verify(self, item: int, near: np.ndarray, first: int, last: int) -> tuple[int, int, int]:
         """(start, end, edits); exact occurrences, the most common by far, need no alignment."""
@@ -214,8 +243,12 @@ class Index:
     @staticmethod
     def _apart(leaks: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
         kept: list[tuple[str, int, int, int]] = []
+        taken: dict[str, list[tuple[int, int]]] = {}  # of each item, in order and apart
         for x in sorted(set(leaks), key=lambda x: (x[3], x[1], x[2], x[0])):
-            if not any(y[0] == x[0] and y[1] < x[2] and x[1] < y[2] for y in kept):
+            mine = taken.setdefault(x[0], [])
+            at = bisect_left(mine, (x[1], x[2]))
+            if (at == 0 or mine[at - 1][1] <= x[1]) and (at == len(mine) or x[2] <= mine[at][0]):
+                mine.insert(at, (x[1], x[2]))
                 kept.append(x)
         return sorted(kept, key=lambda x: (x[1], x[0]))
 
@@ -235,28 +268,33 @@ def _pass(rows: DataFrame, items: list[tuple[str, str]], q: int, share: float, k
                 cols = [b.column(0), pa.array(leaks, LEAK_TYPE), *([b.column(2)] if keep_text else [])]
                 yield pa.record_batch(cols, ["row", "leaks", "text"][: len(cols)])
 
-    return bounded_batches(rows).mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, leaks {LEAK}" + (", text string" if keep_text else ""))
+    return map_arrow(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, leaks {LEAK}" + (", text string" if keep_text else ""))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, q: int = Q, edit_share: float = EDIT_SHARE, group_chars: int = GROUP_CHARS) -> DataFrame:
-    """(row, leaks): row is a struct c0.. of the columns of keep (all, if not given) in their order."""
+    """(row, leaks): row is a struct c0.. of the columns of keep (all but the text, if not given) in their order."""
     names = docs.columns
+    keep = [c for c in names if c != text_col] if keep is None else keep
     flat = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    picked = [names.index(c) for c in keep] if keep is not None else range(len(names))
-    row = F.struct(*(F.col(f"c{i}").alias(f"c{j}") for j, i in enumerate(picked))).alias("row")
-    rows = flat.select(row, F.lit(None).cast(LEAK).alias("leaks"), F.col(f"c{names.index(text_col)}").cast("string").alias("text"))
+    row = F.struct(*(F.col(f"c{names.index(c)}").alias(f"c{j}") for j, c in enumerate(keep))) if keep else F.struct(F.lit(0).alias("none"))
+    return _all_leaks(flat.select(row.alias("row"), F.col(f"c{names.index(text_col)}").cast("string").alias("text")), benchmark, item_col, item_text_col, q, edit_share, group_chars, False)
+
+
+def _all_leaks(rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", q: int = Q, edit_share: float = EDIT_SHARE, group_chars: int = GROUP_CHARS, keep_text: bool = True) -> DataFrame:
+    """rows: (row, text). Adds leaks; without the text unless it is to be kept."""
+    rows = rows.select("row", F.lit(None).cast(LEAK).alias("leaks"), "text")
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("t")).filter("item is not null and t is not null")
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     groups = max(1, math.ceil(2 * chars / group_chars)) if chars > group_chars else 1
     for g in range(groups):
         some = items if groups == 1 else items.filter(F.pmod(F.xxhash64("item", "t"), F.lit(groups)) == g)
-        rows = _pass(rows, sorted((r[0], r[1]) for r in some.collect()), q, edit_share, keep_text=g < groups - 1)
+        rows = _pass(rows, sorted((r[0], r[1]) for r in some.collect()), q, edit_share, keep_text or g < groups - 1)
         if g % 4 == 3 and g < groups - 1:
             rows = cut(rows)
     return rows
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
     """The rows of docs in whose text no item leaks, with the columns of docs."""
-    names = docs.columns
-    return find_leaks(docs, benchmark, **how).filter(F.size("leaks") == 0).select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)))
+    split = Split(docs, text_col)
+    return _all_leaks(split.rows, benchmark, **how).filter(F.size("leaks") == 0).select(*split.columns())
