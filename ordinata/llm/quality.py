@@ -1,13 +1,14 @@
 """Quality rules with risk-controlled thresholds.
 
-A rule rejects a document whose risk value lies above a cutoff. Labelled documents are the holdout: for
-each stratum, rule and cutoff of a fixed grid, the good documents rejected are counted, and the cutoff is
-certified if the exact binomial test says that its false rejection rate is at most alpha / rules, at a
-level of delta / tests (Bonferroni over all strata, rules and cutoffs). So with probability 1 - delta no
-stratum loses more than a share alpha of its good documents to all rules together. Of the certified
-cutoffs, the one that rejects most bad documents, each good one counted against ``GOOD_COSTS`` bad ones,
-is used; of equals, the highest. A stratum with too few labels to certify anything has no method
-rejections, and neither has one that the labels lack.
+A rule rejects a document whose risk value lies above a cutoff. Labelled documents are the holdout. Half of
+them, by a hash of the id, choose in each stratum a path of steps (rule, cutoff): those of a fixed grid that
+reject bad documents, each good one counted against ``GOOD_COSTS`` bad ones, in order of the share of good
+documents rejected, then of bad ones. The other half certify: after j steps, a document is rejected if any of
+the first j steps rejects it, and the exact binomial test says whether the rate of good ones among these is at
+most alpha. Steps are tested one after another, as long as all tests before held (fixed sequence testing: no level
+is lost on the number of steps), at the level delta / strata (Bonferroni over strata). So with probability 1 - delta
+no stratum loses more than a share alpha of its good documents to all rules together. A stratum with too few
+labels to certify anything has no method rejections, and neither has one that the labels lack.
 
 Defined results. A null or empty text has no words and fails the base rules. A null stratum is a stratum
 of its own. Labels that are null, or that contradict each other for a document, are left out; repeated
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut
+from .common import Split, cut, join, map_arrow
 
 SYMBOLS = b"#*$%&|<>"
 ALPHA, DELTA = 0.05, 0.05
@@ -70,17 +71,17 @@ def counts_of(text: str | None) -> tuple[int, ...]:
     )
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """rows has (row, text): text gives way to the counts."""
+def _counted(rows: DataFrame, keep_text: bool = False) -> DataFrame:
+    """rows has (row, text): adds the counts; the text goes unless it is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 got = np.array([counts_of(t) for t in part.column(1).to_pylist()], np.int64).reshape(-1, len(COUNTS))
-                yield pa.record_batch([part.column(0), *(pa.array(got[:, k].copy()) for k in range(len(COUNTS)))], ["row", *COUNTS])
+                yield pa.record_batch([*part.columns[: 1 + keep_text], *(pa.array(got[:, k].copy()) for k in range(len(COUNTS)))], [*["row", "text"][: 1 + keep_text], *COUNTS])
 
-    return bounded_batches(rows).mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return map_arrow(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, " + "text string, " * keep_text + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def risk(rule: str) -> Column:
@@ -93,57 +94,105 @@ def base_failed() -> Column:
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
-    """P(Bin(n, p) <= k), exactly summed in logarithms."""
+    """P(Bin(n, p) <= k): all terms, summed in logarithms from the largest down. Terms that no longer change the sum
+    are bounded by a geometric series, which is added: what is left out never makes the result too small."""
     if k >= n:
         return 1.0
-    lg = math.lgamma(n + 1)
-    terms = [lg - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(max(0, k - 5000), k + 1)]
-    top = max(terms)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(t - top) for t in terms))
-
-
-def certify(rows: list[dict], alpha: float = ALPHA, delta: float = DELTA, tests: int | None = None) -> dict[str, list[float | None]]:
-    """Stratum to the cutoff of each rule (None: none certified). rows: stratum, n_good, and for each rule r
-    and cutoff g the rejected good and bad documents, g_r_k and b_r_k."""
-    tests = tests or max(1, len(rows)) * len(RULES) * len(GRID)
-    out = {}
-    for row in rows:
-        chosen: list[float | None] = []
-        for rule in RULES:
-            best, gain = None, 0
-            for k, at in enumerate(GRID):
-                good, bad = row[f"g_{rule}_{k}"], row[f"b_{rule}_{k}"]
-                worth = bad - GOOD_COSTS * good
-                if worth > 0 and worth >= gain and binomial_cdf(good, row["n_good"], alpha / len(RULES)) <= delta / tests:
-                    best, gain = at, worth
-            chosen.append(best)
-        out[row["stratum"]] = chosen
-    return out
-
-
-def thresholds(features: DataFrame, labels: DataFrame, *, stratum: Column, label_id: str = "doc_id", label_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> dict[str, list[float | None]]:
-    """features: id and COUNTS. What reaches the driver is one row of counts for each stratum that has
-    enough good labels to certify a cutoff, so their number is at most labels / least."""
+    top = min(k, int((n + 1) * p))  # of terms 0..k the largest
+    base = math.lgamma(n + 1) - math.lgamma(top + 1) - math.lgamma(n - top + 1) + top * math.log(p) + (n - top) * math.log1p(-p)
+    total, term, i = 1.0, 1.0, top
+    while i > 0:
+        ratio = i * (1 - p) / ((n - i + 1) * p)
+        term *= ratio
+        total += term
+        i -= 1
+        if term < 1e-18:
+            total += term * i  # terms fall below the top
+            break
+    term, i = 1.0, top
+    while i < k:
+        term *= (n - i) * p / ((i + 1) * (1 - p))
+        total += term
+        i += 1
+        if term < 1e-18:
+            total += term * (k - i)
+            break
+    return min(1.0, math.exp(base + math.log(total)))
+
+
+#: A stratum's steps in order: [(rule, cutoff)], those that are certified.
+Path = list[tuple[str, float]]
+
+
+def steps(row: dict) -> Path:
+    """The path that the choosing half's counts give: g_r_k and b_r_k good and bad documents that cutoff k of rule r rejects."""
+    some = []
+    for i, rule in enumerate(RULES):
+        for k, at in enumerate(GRID):
+            good, bad = row[f"g_{rule}_{k}"], row[f"b_{rule}_{k}"]
+            if bad > GOOD_COSTS * good:
+                some.append((good, -bad, i, -k, rule, at))
+    return [x[-2:] for x in sorted(some)]
+
+
+def certified(path: Path, rejected: dict[int, int], n_good: int, level: float, alpha: float = ALPHA) -> Path:
+    """The steps before the first one whose test fails. rejected: good documents of the certifying half by the first step
+    that rejects them; n_good: all of them."""
+    good = 0
+    for j in range(len(path)):
+        good += rejected.get(j, 0)
+        if binomial_cdf(good, n_good, alpha) > level:
+            return path[:j]
+    return path
+
+
+def chooses(id_: Column) -> Column:
+    """Is the document in the half that chooses?"""
+    return F.substring(F.md5(F.concat(id_.cast("string"), F.lit("/half"))), 1, 1) < "8"
+
+
+def first_step(path: Column) -> Column:
+    """The place of the first step of path, an array of (rule's number from 1, cutoff), that rejects the document; -1 if
+    none does."""
+    risks = F.array(*(risk(r) for r in RULES))
+    return F.array_position(F.transform(path, lambda x: F.element_at(risks, x["rule"]) > x["at"]), True).cast("int") - 1
+
+
+def thresholds(features: DataFrame, labels: DataFrame, *, stratum: Column, label_id: str = "doc_id", label_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> dict[str, Path]:
+    """Stratum to its certified steps. features: id and COUNTS. What reaches the driver is one row of counts for each
+    stratum that has enough good labels to certify a step, and one for each such stratum and step."""
     known = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most").select("id", "y")
-    held = features.select("id", stratum.alias("stratum"), *(risk(r).alias(r) for r in RULES)).join(known, "id")
-    held = held.groupBy("id").agg(F.first("y").alias("y"), F.min("stratum").alias("stratum"), *(F.max(r).alias(r) for r in RULES))
-    good, bad = F.col("y") == 1, F.col("y") == 0
-    sums = [F.sum((who & (F.col(r) > at)).cast("long")).alias(f"{name}_{r}_{k}") for name, who in (("g", good), ("b", bad)) for r in RULES for k, at in enumerate(GRID)]
-    per = cut(held.groupBy("stratum").agg(F.sum(good.cast("long")).alias("n_good"), *sums))
-    tests = max(1, per.count()) * len(RULES) * len(GRID)
-    least = math.log(delta / tests) / math.log1p(-alpha / len(RULES))  # below it not even a cutoff without a false rejection passes
-    rows = [r.asDict() for r in per.filter(F.col("n_good") >= math.floor(least)).collect()]
-    return certify(rows, alpha, delta, tests)
-
-
-def _judged(counted: DataFrame, limits: dict[str, list[float | None]], stratum: Column) -> DataFrame:
+    held = join(features.select("id", stratum.alias("stratum"), *COUNTS), known, "id")
+    # rows of an id are one document: of texts that differ, the row of the largest counts
+    held = held.groupBy("id").agg(F.max(F.struct("stratum", "y", *COUNTS)).alias("x")).select("id", "x.*").withColumn("chooses", chooses(F.col("id")))
+    held = cut(held)
+    risks = held.select("stratum", "y", "chooses", *(risk(r).alias(r) for r in RULES))
+    # as text, since a hundred expressions take long to build one call after the other
+    sums = [f"count_if(y = {y} and chooses and {r} > {at!r}D) as {name}_{r}_{k}" for name, y in (("g", 1), ("b", 0)) for r in RULES for k, at in enumerate(GRID)]
+    per = cut(risks.groupBy("stratum").agg(*map(F.expr, ["count_if(y = 1 and not chooses) as n_good", *sums])))
+    level = delta / max(1, per.count())
+    least = math.floor(math.log(level) / math.log1p(-alpha))  # below it not even a step without a false rejection passes
+    rows = [r.asDict() for r in per.filter(F.col("n_good") >= least).collect()]
+    paths = {r["stratum"]: path for r in rows if (path := steps(r))}
+    if not paths:
+        return {}
+    table = held.sparkSession.createDataFrame([(s, [(RULES.index(r) + 1, at) for r, at in path]) for s, path in paths.items()], "stratum string, path array<struct<rule:int,at:double>>")
+    first = join(held.filter("y = 1 and not chooses"), table, "stratum", rows=len(paths)).select("stratum", first_step(F.col("path")).alias("step"))
+    lost: dict[str, dict[int, int]] = {s: {} for s in paths}
+    for r in first.filter("step >= 0").groupBy("stratum", "step").agg(F.count("*").alias("n")).collect():
+        lost[r["stratum"]][r["step"]] = r["n"]
+    n_good = {r["stratum"]: r["n_good"] for r in rows}
+    return {s: sure for s, path in paths.items() if (sure := certified(path, lost[s], n_good[s], level, alpha))}
+
+
+def _judged(counted: DataFrame, limits: dict[str, Path], stratum: Column) -> DataFrame:
     """Adds base_failed, rejected_by (rules) and kept."""
     spark = counted.sparkSession
-    rows = [(s, *(None if x is None else float(x) for x in cuts)) for s, cuts in sorted(limits.items())]
-    table = spark.createDataFrame(rows, "s string, " + ", ".join(f"max_{r} double" for r in RULES))
-    # at most one row for each stratum of ``thresholds``
-    out = counted.withColumn("s", stratum).join(F.broadcast(table), "s", "left")
+    cuts = [(s, [min((at for r, at in path if r == rule), default=None) for rule in RULES]) for s, path in sorted(limits.items())]
+    table = spark.createDataFrame([(s, *x) for s, x in cuts], "s string, " + ", ".join(f"max_{r} double" for r in RULES))
+    # one row for each certified stratum, which has some 80 labels at least; broadcast only where they are few
+    out = join(counted.withColumn("s", stratum), table, "s", "left", rows=len(cuts))
     by = F.array_compact(F.array(*(F.when(risk(r) > F.col(f"max_{r}"), F.lit(r)) for r in RULES)))
     out = out.withColumn("base_failed", base_failed()).withColumn("rejected_by", by)
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
@@ -163,13 +212,10 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs. Texts are read twice and never shuffled."""
-    names = docs.columns
-    flat = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    text = F.col(f"c{names.index(text_col)}").cast("string").alias("text")
-    limits = thresholds(
-        cut(_counted(flat.select(F.struct(F.col(f"c{names.index(id_col)}").alias("id"), stratum_of(F.col(f"c{names.index(stratum_col)}")).alias("stratum")).alias("row"), text)).select("row.id", "row.stratum", *COUNTS)),
-        labels, stratum=F.col("stratum"), alpha=alpha, delta=delta)
-    counted = _counted(flat.select(F.struct(*flat.columns).alias("row"), text))
-    judged = _judged(counted, limits, stratum_of(F.col(f"row.c{names.index(stratum_col)}")))
-    return judged.filter("kept").select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)))
+    """The rows of docs that are kept, with the columns of docs. Texts are read and counted once, and never shuffled; they
+    wait in the shared folder, with their counts, until the thresholds are known."""
+    split = Split(docs, text_col)
+    counted = cut(_counted(split.rows, keep_text=True))
+    stratum = stratum_of(split.column(stratum_col))
+    limits = thresholds(counted.select(split.column(id_col).alias("id"), stratum.alias("stratum"), *COUNTS), labels, stratum=F.col("stratum"), alpha=alpha, delta=delta)
+    return _judged(counted, limits, stratum).filter("kept").select(*split.columns())

@@ -65,6 +65,17 @@ def _chat() -> str:
     FROM t GROUP BY conv_id"""
 
 
+def _branches() -> str:
+    return """WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS node, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+    p(conv_id, leaf, node, role, text, depth) AS (
+        SELECT conv_id, node, node, role, text, 0 FROM t WHERE NOT EXISTS (SELECT 1 FROM t c WHERE c.conv_id = t.conv_id AND c.node // 2 = t.node AND c.node > 1)
+        UNION ALL SELECT p.conv_id, p.leaf, t.node, t.role, t.text, p.depth + 1 FROM p JOIN t ON t.conv_id = p.conv_id AND t.node = p.node // 2 AND p.node > 1),
+    l AS (SELECT conv_id, leaf, sum(length(text)) / count(*) AS mean, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY node) AS said,
+        coalesce(string_agg(text, '' ORDER BY node) FILTER (role = 'assistant'), '') AS loss FROM p GROUP BY conv_id, leaf),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY mean DESC, leaf) AS place FROM l)
+    SELECT conv_id, place, leaf, n_turns, sha256(said) AS turns_sha256, sha256(loss) AS loss_sha256 FROM r WHERE place <= 2"""
+
+
 def _lines(limit: int = 10) -> str:
     return rf"""WITH l AS (SELECT d.rowid AS r, doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
         FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents) d, range(1, len(string_split(coalesce(text, ''), chr(10))) + 1) AS x(i)),
@@ -79,7 +90,6 @@ def _quality() -> str:
     risk = {"symbols": "n_symbols / greatest(n_words, 1)", "upper": "n_upper / greatest(word_chars, 1)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)", "bangs": "n_bangs / greatest(n_words, 1)"}
     each = " UNION ALL ".join(f"SELECT doc_id, stratum, {k} AS r, '{r}' AS rule, CAST({risk[r]} AS DOUBLE) AS risk FROM f" for k, r in enumerate(quality.RULES))
     grid = ", ".join(f"({x})" for x in quality.GRID)
-    share = quality.ALPHA / len(quality.RULES)
     return rf"""WITH d AS (SELECT doc_id, coalesce(lang, chr(1)) AS stratum, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\t-\r ]+'), lambda x: x <> '') AS w,
         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\t-\r ]')) AS ls FROM documents),
     win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM d, range(1, len(w) - 1) AS n(i)),
@@ -89,13 +99,16 @@ def _quality() -> str:
         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_bangs
         FROM d LEFT JOIN rep USING (doc_id)),
     v AS ({each}),
-    y AS (SELECT doc_id, min(quality) AS y FROM labels WHERE quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = max(quality)),
-    n AS (SELECT stratum, count(*) FILTER (y = 1) AS n_good FROM f JOIN y USING (doc_id) GROUP BY stratum),
-    c AS (SELECT stratum, rule, cutoff, count(*) FILTER (y = 1 AND risk > cutoff) AS g, count(*) FILTER (y = 0 AND risk > cutoff) AS b FROM v JOIN y USING (doc_id), (VALUES {grid}) AS q(cutoff) GROUP BY ALL),
-    p AS (SELECT c.*, list_sum(list_transform(range(0, least(g, n_good) + 1), lambda i: exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({share!r}) + (n_good - i) * ln(1 - {share!r})))) AS p,
-        {quality.DELTA} / ((SELECT count(*) FROM n) * {len(quality.RULES) * len(quality.GRID)}) AS level FROM c JOIN n USING (stratum)),
-    z AS (SELECT stratum, rule, arg_max(cutoff, (b - {quality.GOOD_COSTS} * g, cutoff)) AS cutoff FROM p WHERE p <= level AND b > {quality.GOOD_COSTS} * g GROUP BY stratum, rule),
-    no AS (SELECT doc_id, string_agg(rule, ',' ORDER BY r) AS rejected_by FROM v JOIN z USING (stratum, rule) WHERE risk > cutoff GROUP BY doc_id),
+    y AS (SELECT doc_id, min(quality) AS y, substr(md5(CAST(doc_id AS VARCHAR) || '/half'), 1, 1) < '8' AS chooses FROM labels WHERE quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = max(quality)),
+    n AS (SELECT stratum, count(*) FILTER (y = 1 AND NOT chooses) AS n_good FROM f JOIN y USING (doc_id) GROUP BY stratum),
+    lev AS (SELECT {quality.DELTA} / count(*) AS level FROM n),
+    c AS (SELECT stratum, v.r AS k, rule, cutoff, count(*) FILTER (y = 1 AND risk > cutoff) AS g, count(*) FILTER (y = 0 AND risk > cutoff) AS b FROM v JOIN y USING (doc_id), (VALUES {grid}) AS q(cutoff) WHERE chooses GROUP BY ALL),
+    path AS (SELECT stratum, k, rule, cutoff, row_number() OVER (PARTITION BY stratum ORDER BY g, b DESC, k, cutoff DESC) AS j FROM c WHERE b > {quality.GOOD_COSTS} * g),
+    fs AS (SELECT stratum, doc_id, min(j) AS j FROM path JOIN v USING (stratum, rule) JOIN y USING (doc_id) WHERE y = 1 AND NOT chooses AND risk > cutoff GROUP BY ALL),
+    p AS (SELECT path.stratum, path.k, path.rule, path.cutoff, path.j, n_good, (SELECT count(*) FROM fs WHERE fs.stratum = path.stratum AND fs.j <= path.j) AS g FROM path JOIN n USING (stratum)),
+    t AS (SELECT *, list_sum(list_transform(range(0, least(g, n_good) + 1), lambda i: exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({quality.ALPHA!r}) + (n_good - i) * ln(1 - {quality.ALPHA!r})))) <= level AS holds FROM p, lev),
+    z AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM t WHERE j < (SELECT coalesce(min(u.j), 1000) FROM t u WHERE u.stratum = t.stratum AND NOT u.holds) GROUP BY stratum, rule),
+    no AS (SELECT doc_id, string_agg(rule, ',' ORDER BY v.r) AS rejected_by FROM v JOIN z USING (stratum, rule) WHERE risk > cutoff GROUP BY doc_id),
     j AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f LEFT JOIN no USING (doc_id))
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by FROM j"""
 
@@ -106,4 +119,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_secret_scan": _secrets(),
     "op8_url_filter": _urls(),
     "op10_chat_format": _chat(),
+    "chat_branches": _branches(),
 }
