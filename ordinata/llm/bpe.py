@@ -23,6 +23,7 @@ import re
 import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -32,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches
+from .common import map_arrow
 
 #: Fixed value: how byte-level tokenizers split a text into words. L, N and S stand for the code points that are
 #: letters, numbers and white space.
@@ -149,14 +150,18 @@ class Coder:
     """Encodes and decodes texts with an automaton, in one process."""
 
     def __init__(self, a: Automaton):
-        self.arcs, self.row, self.target, self.labels = a.arcs, a.row, a.target, a.labels
-        self.step: dict[int, dict] = {}  # byte to the next node; -1 to the token that ends here
+        self.arcs, self.row, self.target, self.labels = a.arcs, array("q", a.row), array("i", a.target), a.labels
+        # the trie of labels in two flat tables: node << 8 | byte to the next node, and the token that ends at each node
+        self.step: dict[int, int] = {}
+        self.ends = array("i", [-1])
         for k, label in enumerate(a.labels):
             if a.target[k] >= 0:
-                node = self.step
+                node = 0
                 for byte in label:
-                    node = node.setdefault(byte, {})
-                node[-1] = k
+                    node = self.step.setdefault(node << 8 | byte, len(self.ends))
+                    if node == len(self.ends):
+                        self.ends.append(-1)
+                self.ends[node] = k
         self.near, self.all = splitter(0xFFFF), splitter()
         self.added = a.added
         self.marks = re.compile("|".join(map(re.escape, sorted(a.added, key=len, reverse=True)))) if a.added else None
@@ -165,19 +170,18 @@ class Coder:
 
     def word(self, data: bytes) -> tuple[int, ...]:
         n = len(data)
-        step, arcs, row, target = self.step, self.arcs, self.row, self.target
+        step, ends, arcs, row, target = self.step.get, self.ends, self.arcs, self.row, self.target
         # the longest arc each time: if that reads the whole word, it is the one accepted path
         out, at, s = [], 0, 0
         while at < n:
-            node, best = step, -1
+            node, best = 0, -1
             for i in range(at, n):
-                node = node.get(data[i])
+                node = step(node << 8 | data[i])
                 if node is None:
                     break
-                if -1 in node:
-                    t = node[-1]
-                    if arcs[row[t] + (s >> 3)] >> (s & 7) & 1:
-                        best, end = t, i + 1
+                t = ends[node]
+                if t >= 0 and arcs[row[t] + (s >> 3)] >> (s & 7) & 1:
+                    best, end = t, i + 1
             if best < 0:
                 break
             out.append(best)
@@ -187,12 +191,12 @@ class Coder:
         # else for each end the one arc that the automaton allows there
         last, state = [-1] * (n + 1), [0] * (n + 1)
         for j in range(n):
-            s, node = state[j], step
+            s, node = state[j], 0
             for i in range(j, n):
-                node = node.get(data[i])
+                node = step(node << 8 | data[i])
                 if node is None:
                     break
-                t = node.get(-1, -1)
+                t = ends[node]
                 if t >= 0 and last[i + 1] < 0 and arcs[row[t] + (s >> 3)] >> (s & 7) & 1:
                     last[i + 1], state[i + 1] = t, target[t]
         out, at = [], n
@@ -250,8 +254,9 @@ def _coder(shared) -> Coder:
 
 
 def encode_texts(docs: DataFrame, automaton: Automaton, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded_col: str | None = None) -> DataFrame:
-    """The columns of keep, n_tokens, and ids: little-endian unsigned 32-bit integers, packed. decoded_col: adds
-    what the ids decode to, in the same pass."""
+    """The columns of keep (but for those whose names the new ones take), n_tokens, and ids: little-endian unsigned
+    32-bit integers, packed. decoded_col: adds what the ids decode to, in the same pass."""
+    keep = tuple(c for c in keep if c not in ("n_tokens", "ids", decoded_col))
     shared = docs.sparkSession.sparkContext.broadcast(automaton.packed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,9 +271,9 @@ def encode_texts(docs: DataFrame, automaton: Automaton, *, text_col: str = "text
                 yield pa.record_batch([*part.columns[1:], *new.values()], [*part.schema.names[1:], *new])
         coder.forget()
 
-    rows = bounded_batches(docs).select(docs[text_col].cast("string").alias("_text"), *(docs[c] for c in keep))
+    rows = docs.select(docs[text_col].cast("string").alias("_text"), *(docs[c] for c in keep))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
-    return rows.mapInArrow(run, ", ".join([*fields, "n_tokens long", "ids binary", *([f"`{decoded_col}` string"] if decoded_col else [])]))
+    return map_arrow(rows, run, ", ".join([*fields, "n_tokens long", "ids binary", *([f"`{decoded_col}` string"] if decoded_col else [])]))
 
 
 def decode_ids(rows: DataFrame, automaton: Automaton, *, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), out_col: str = "decoded") -> DataFrame:
@@ -283,6 +288,6 @@ def decode_ids(rows: DataFrame, automaton: Automaton, *, ids_col: str = "ids", k
                 texts = [decode(labels, np.frombuffer(x or b"", "<u4").tolist()) for x in part.column(0).to_pylist()]
                 yield pa.record_batch([*part.columns[1:], pa.array(texts, pa.string())], [*part.schema.names[1:], out_col])
 
-    picked = bounded_batches(rows).select(rows[ids_col].alias("_ids"), *(rows[c] for c in keep))
+    picked = rows.select(rows[ids_col].alias("_ids"), *(rows[c] for c in keep))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[1:]]
-    return picked.mapInArrow(run, ", ".join([*fields, f"`{out_col}` string"]))
+    return map_arrow(picked, run, ", ".join([*fields, f"`{out_col}` string"]))
