@@ -11,8 +11,9 @@ character, so no control string is left in them; ``unescape`` takes both back.
 
 Defined results. Null role or text: empty. A parent that is null or missing: the message is a root.
 Messages on a cycle have no root and are left out. Null tree ids form one tree of their own. Equal
-scores: the smaller leaf id ranks first. Node ids must be unique in their tree. An empty table gives no
-rows. Only the named columns are used, so further columns can have any name.
+scores: the smaller leaf id ranks first. Of messages with the same node id in a tree the first by parent (none before
+any), then role and text, counts, so repeated rows change nothing; messages without a node id are left out. An empty
+table gives no rows. Only the named columns are used, so further columns can have any name.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from .common import cut
 #: Control strings of the template.
 BEGIN, END, INST, INST_END, SEP = "<s>", "</s>", "[INST]", "[/INST]", "<sep>"
 CONTROLS = [BEGIN, END, INST, INST_END, SEP]
-#: Rounds of doubling: paths of up to 2**40 messages.
-MAX_ROUNDS = 40
 
 
 def escape(text: Column) -> Column:
@@ -49,16 +48,20 @@ def _up(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
 def reply_paths(messages: DataFrame, *, tree_col: str = "tree_id", id_col: str = "node_id", parent_col: str = "parent_id", score_col: str | None = None, top: int | None = None) -> DataFrame:
     """(tree, leaf, rank, path_score, node, pos): the messages of each path chosen, pos from 1 at the root.
     rank orders a tree's leaves by the mean score of their path; top keeps that many of each tree."""
-    nodes = messages.select(
-        F.col(tree_col).alias("tree"), F.col(id_col).cast("long").alias("node"), F.col(parent_col).cast("long").alias("ptr"),
-        (F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)) if score_col else F.lit(0.0)).alias("score"),
-    )
+    score = F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)) if score_col else F.lit(0.0)
+    nodes = messages.filter(F.col(id_col).isNotNull()).select(F.col(tree_col).alias("tree"), F.col(id_col).cast("long").alias("node"), F.col(parent_col).cast("long").alias("ptr"), score.alias("score"))
+    return _paths(nodes.groupBy("tree", "node").agg(F.min(F.struct("ptr", "score")).alias("x")).select("tree", "node", "x.*"), top)
+
+
+def _paths(nodes: DataFrame, top: int | None) -> DataFrame:
+    """nodes: (tree, node, ptr, score), each node once."""
     # a parent that isn't there makes a root
     known = nodes.select("tree", "node")
     state = cut(_up(nodes, known, "left").select("l.tree", "l.node", F.col("r.node").alias("ptr"), F.lit(1).cast("long").alias("depth"), "l.score"))
     leaves = state.alias("l").join(state.alias("c"), F.col("l.tree").eqNullSafe(F.col("c.tree")) & (F.col("l.node") == F.col("c.ptr")), "left_anti").select("tree", "node")
     jumps, roots, open_ = [], [state.filter("ptr is null")], state.filter("ptr is not null")
-    while len(jumps) < MAX_ROUNDS and not open_.isEmpty():
+    rounds = state.count().bit_length()  # no path has more messages than there are; what is open then is on a cycle
+    while len(jumps) < rounds and not open_.isEmpty():
         # only messages that haven't met their root go on; they look up any message
         jumps.append(open_.select("tree", "node", "ptr"))
         known = open_
@@ -91,13 +94,18 @@ def reply_paths(messages: DataFrame, *, tree_col: str = "tree_id", id_col: str =
 def format_chats(messages: DataFrame, *, tree_col: str = "tree_id", id_col: str = "node_id", parent_col: str = "parent_id", role_col: str = "role", text_col: str = "text", score_col: str | None = None, top: int | None = None, assistant: str = "assistant") -> DataFrame:
     """tree, leaf, rank, path_score, formatted string, loss_spans array of (start, len) in code points of
     ``formatted``: the assistants' escaped texts, in order."""
-    paths = reply_paths(messages, tree_col=tree_col, id_col=id_col, parent_col=parent_col, score_col=score_col, top=top)
-    ours = F.coalesce(F.col(role_col) == assistant, F.lit(False))
-    head = F.concat(F.when(ours, BEGIN).otherwise(INST), escape(F.col(role_col)), F.lit(SEP))
-    pieces = messages.select(
-        F.col(tree_col).alias("m_tree"), F.col(id_col).cast("long").alias("m_node"), ours.alias("ours"),
-        F.concat(head, escape(F.col(text_col)), F.when(ours, END).otherwise(INST_END)).alias("piece"),
-        F.length(head).cast("long").alias("lead"), F.length(escape(F.col(text_col))).cast("long").alias("len"),
+    score = F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)) if score_col else F.lit(0.0)
+    named = messages.filter(F.col(id_col).isNotNull()).select(
+        F.col(tree_col).alias("tree"), F.col(id_col).cast("long").alias("node"),
+        F.struct(F.col(parent_col).cast("long").alias("ptr"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"), score.alias("score")).alias("x"))
+    once = cut(named.groupBy("tree", "node").agg(F.min("x").alias("x")).select("tree", "node", "x.*"))
+    paths = _paths(once.select("tree", "node", "ptr", "score"), top)
+    ours = F.coalesce(F.col("role") == assistant, F.lit(False))
+    head = F.concat(F.when(ours, BEGIN).otherwise(INST), escape(F.col("role")), F.lit(SEP))
+    pieces = once.select(
+        F.col("tree").alias("m_tree"), F.col("node").alias("m_node"), ours.alias("ours"),
+        F.concat(head, escape(F.col("text")), F.when(ours, END).otherwise(INST_END)).alias("piece"),
+        F.length(head).cast("long").alias("lead"), F.length(escape(F.col("text"))).cast("long").alias("len"),
     ).withColumn("whole", F.length("piece").cast("long"))
     rows = paths.join(pieces, F.col("tree").eqNullSafe(F.col("m_tree")) & (F.col("node") == F.col("m_node")))
     w = W.partitionBy("tree", "leaf").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)

@@ -79,8 +79,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    said = F.lit("</s>[INST] ok [/INST]")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
     turns = turns.unionByName(probe)
     order = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
     nodes = turns.withColumn("node", order)
@@ -94,6 +94,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chat_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reply trees with branches: each conversation's messages as a tree in which the n-th replies to message n // 2, each
+    scored by its length. The two best paths of each, with their turns and what the loss mask covers."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    nodes = turns.withColumn("node_id", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
+    nodes = nodes.withColumn("parent_id", F.when(F.col("node_id") > 1, F.floor(F.col("node_id") / 2))).withColumn("score", F.coalesce(F.length("text"), F.lit(0)).cast("double"))
+    out = chat.format_chats(nodes, tree_col="conv_id", score_col="score", top=2)
+    back = out.select("tree", "rank", "leaf", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(F.col("tree").alias("conv_id"), F.col("rank").cast("long").alias("place"), "leaf", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.sha2("loss", 256).alias("loss_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -105,4 +117,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_format": op10_chat_format,
+    "chat_branches": chat_branches,
 }
