@@ -66,6 +66,12 @@ def test_reply_trees(spark):
         assert sorted(mine, key=lambda x: mine[x][0]) == [5, 3, 20, 9]  # means 2.75, 2, 2 (the smaller leaf first), 0.5
     assert {r.leaf for r in chat.reply_paths(df, score_col="score", top=1).collect()} == {5}
     assert chat.reply_paths(df.limit(0)).count() == 0
+    again = df.unionByName(df.limit(4)).unionByName(df.limit(1).selectExpr("tree_id", "null as node_id", "parent_id", "score"))
+    assert sorted(chat.reply_paths(again, score_col="score").collect(), key=str) == sorted(chat.reply_paths(df, score_col="score").collect(), key=str)
+    # rows that repeat a node id: the first by parent, role and text counts
+    odd = spark.createDataFrame([(1, 1, None, "user", "b"), (1, 1, None, "user", "a"), (1, 2, 1, "assistant", "x"), (1, 2, 1, "assistant", "x"), (1, 2, 9, "assistant", "y")], "tree_id long, node_id long, parent_id long, role string, text string")
+    (r,) = chat.format_chats(odd).collect()
+    assert r.formatted == "[INST]user<sep>a[/INST]<s>assistant<sep>x</s>"
 
 
 def test_formats_come_back(spark):
@@ -110,7 +116,8 @@ def test_pipeline_against_brute_force(spark, data):
     often = Counter(k for ks in keys for k in set(ks) if k)
     for d, ks in zip(docs, keys):
         d["text"] = "\n".join(x for x, k in zip(d["text"].split("\n"), ks) if often[k] < 10 or not k)
-    n, common = len(docs), Counter(s for h in shingles.text_words([d["text"] for d in docs]) for s in set(shingles.shingle_hashes(h).tolist()))
+    distinct = {shingles.text_key(h): h for h in shingles.text_words([d["text"] for d in docs])}
+    n, common = len(docs), Counter(s for h in distinct.values() for s in set(shingles.shingle_hashes(h).tolist()))
     w = shingles.Weights(n, {k: c for k, c in common.items() if c > shingles.COMMON_SHARE * n})
     bags = [w.of(h) for h in shingles.text_words([d["text"] for d in docs])]
     root = list(range(n))

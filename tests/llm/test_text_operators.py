@@ -56,26 +56,48 @@ def test_quality_bounds():
 
 def test_quality_rules(spark):
     good = [PROSE[k % 6] + f" w{k}" for k in range(3000)]
+    long = ["word " * 60_000 + " ".join(f"u{i}" for i in range(60_000)), "x" * 10**6]
     bad = [" ".join(w + "***" for w in PROSE[k % 6].split()) for k in range(300)]
     rows = [(k, t, "en" if k % 3 else None) for k, t in enumerate([*good, *bad])]
-    docs = spark.createDataFrame(rows + [(None, good[0], "en"), (9000, None, "en"), (9001, "", "xx")], "doc_id long, text string, lang string").withColumn("s", F.lit(1)).withColumn("stratum", F.lit(2))
+    docs = spark.createDataFrame(rows + [(None, good[0], "en"), (9000, None, "en"), (9001, "", "xx"), (9002, long[0], "en"), (9003, long[1], "en")], "doc_id long, text string, lang string").withColumn("s", F.lit(1)).withColumn("stratum", F.lit(2))
     labels = spark.createDataFrame([(k, int(k < 3000)) for k in range(3300)] + [(1, 1), (2, 0), (None, 1), (5, None)], "doc_id long, quality int")
     out = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
     assert all(out[k].kept for k in range(3000)) and not any(out[k].kept for k in range(3000, 3300))
+    assert not out[9002].base_failed and out[9002].n_repeat_words == 60_000 and out[9003].base_failed and out[9003].word_chars == 10**6
     assert out[None].kept and out[9000].base_failed and out[9001].base_failed and not out[9000].kept
     kept = quality.keep_good(docs, labels)
-    assert kept.columns == docs.columns and kept.count() == 3001
+    assert kept.columns == docs.columns and kept.count() == 3002
     none = quality.judge(docs, labels.limit(0))
-    assert none.filter("kept").count() == 3301  # only the base rules are left
+    assert none.filter("kept").count() == 3302  # only the base rules are left
     assert quality.judge(docs.limit(0), labels).count() == 0
 
 
 def test_certify_holds_alpha():
-    row = {"stratum": "x", "n_good": 1000} | {f"{s}_{r}_{k}": 0 for s in "gb" for r in quality.RULES for k in range(len(quality.GRID))}
-    first = quality.RULES[0]
-    row |= {f"b_{first}_3": 50, f"b_{first}_2": 50, f"g_{first}_1": 30, f"b_{first}_1": 900}
-    assert quality.certify([row])["x"] == [quality.GRID[3], None, None, None, None]  # 30 of 1000 is beyond 1 %
-    assert quality.certify([row | {"n_good": 100}])["x"][0] is None  # too few to be sure
+    row = {f"{s}_{r}_{k}": 0 for s in "gb" for r in quality.RULES for k in range(len(quality.GRID))}
+    first, second = quality.RULES[:2]
+    row |= {f"b_{first}_3": 50, f"b_{first}_2": 60, f"g_{first}_1": 30, f"b_{first}_1": 900, f"b_{second}_4": 55, f"g_{second}_0": 5, f"b_{second}_0": 50}
+    path = quality.steps(row)
+    assert path == [(first, quality.GRID[2]), (second, quality.GRID[4]), (first, quality.GRID[3]), (first, quality.GRID[1])]  # 50 bad don't outweigh 5 good
+    assert quality.certified(path, {0: 10, 1: 10, 3: 200}, 1000, 0.01) == path[:3]
+    assert quality.certified(path, {0: 10, 1: 10}, 1000, 0.01) == path
+    assert quality.certified(path, {0: 49}, 1000, 0.01) == []  # no later step is tested
+    assert quality.certified(path, {}, 85, 0.05 / 4) == [] and quality.certified(path, {}, 86, 0.05 / 4) == path  # enough to be sure
+
+
+def test_bounds_of_large_samples():
+    """Never below the exact value, with many terms beyond the first five thousand."""
+    from fractions import Fraction
+    from math import comb
+
+    for k, n, p in ((40, 2000, Fraction(1, 20)), (7000, 100_000, Fraction(7, 100)), (30_000, 100_000, Fraction(1, 3))):
+        if n < 10_000:
+            exact = float(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
+            assert quality.binomial_cdf(k, n, float(p)) == pytest.approx(exact, rel=1e-9)
+        else:  # the normal law, far from its ends
+            z = (k + 0.5 - n * float(p)) / (n * float(p * (1 - p))) ** 0.5
+            from math import erf
+
+            assert quality.binomial_cdf(k, n, float(p)) == pytest.approx((1 + erf(z / 2**0.5)) / 2, rel=0.02, abs=1e-9)
 
 
 # Passages
@@ -145,6 +167,53 @@ def test_passage_whose_part_comes_before():
     assert passages.shared_passages(of(passage[:45] * 3), of(fresh(90, "e").split() + passage[:45]), **how) == []
 
 
+def _phrases(rnd):
+    """12 pairs of documents with a passage of 75 words each; each of its phrases of 15 and 25 words is also in 40 other documents."""
+    new = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    texts, pairs = [], []
+    for _ in range(12):
+        passage = new(75)
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [new(60) + passage + new(60), new(30) + passage + new(90)]
+        for lo, hi in ((0, 15), (15, 40), (40, 55), (50, 75)):
+            texts += [new(50) + passage[lo:hi] + new(50) for _ in range(40)]
+    return texts, pairs
+
+
+def test_phrases_of_many_part_no_pair(spark):
+    texts, pairs = _phrases(random.Random(5))
+    for parts in (1, 4):
+        out = passages.repeated_passages(docs_of(spark, [" ".join(t) for t in texts]).repartition(parts)).collect()
+        assert {(r.other_id, r.doc_id) for r in out} == set(pairs)
+
+
+def test_passages_against_all_pairs(spark):
+    """Passages of 55 to 120 words, some edited, among phrases that many documents hold: recall of the links, and no false ones."""
+    r = random.Random(11)
+    new = lambda n: [f"v{r.randrange(10**9)}" for _ in range(n)]
+    phrases = [new(r.randint(10, 30)) for _ in range(4)]
+    common = [new(r.randint(55, 120)) for _ in range(30)]
+    texts = []
+    for k in range(260):
+        t = new(r.randint(0, 80))
+        for _ in range(r.randint(0, 2)):
+            p = list(r.choice(common))
+            if r.random() < 0.5:
+                p[r.randrange(len(p))] = "changed"
+            t += p + new(r.randint(0, 40))
+        if r.random() < 0.6:
+            t[r.randint(0, len(t)) : 0] = r.choice(phrases)
+        texts.append(" ".join(t))
+    how = dict(min_words=passages.MIN_WORDS, size=shingles.WORDS, similarity=passages.SIMILARITY)
+    of = [shingles.shingle_hashes(h) for h in shingles.text_words(texts)]
+    want = {(i, j) for j in range(len(of)) for i in range(j) if len(of[i]) and len(of[j]) and passages.shared_passages(of[i], of[j], **how)}
+    out = passages.repeated_passages(docs_of(spark, texts).repartition(3)).collect()
+    found = {(x.other_id, x.doc_id) for x in out}
+    classes = {d: x.class_id for x in out for d in (x.doc_id, x.other_id)}
+    assert found <= want and len(want) > 500
+    assert sum(classes.get(i, -1) == classes.get(j, -2) for i, j in want) >= 0.99 * len(want)
+
+
 def test_recall_of_functions():
     """Passages of 50 words with one changed (41 of 51 shingles in common) must agree in enough functions."""
     r = np.random.default_rng(7)
@@ -197,10 +266,10 @@ def test_hot_buckets_against_all_pairs(spark):
     for k in range(300):
         own = fresh(14, f"h{k}_").split()
         texts.append(f"{template} {' '.join(own)}")
-        if k % 2 == 0:  # 82 of 98 shingles in common; 76 are the template's
-            own[5] = own[8] = "changed"
+        if k % 2 == 0:  # 85 of 95 shingles in common; 76 are the template's
+            own[5] = "changed"
             texts.append(f"{template} {' '.join(own)}")
-    texts += [fresh(20, f"o{k}_") for k in range(4 * len(texts))]  # so that the template isn't common
+    texts += [fresh(20, f"o{k}_") for k in range(4 * len(texts))]
     docs = docs_of(spark, texts)
     got = {x.doc_id: x.class_id for x in neardups.near_duplicates(docs).collect()}
     w = shingles.Weights(*shingles.common_shingles(docs, "text"))
@@ -233,11 +302,38 @@ def test_keep_one(spark):
     assert neardups.keep_one(docs.limit(0)).count() == 0
 
 
-def test_common_shingles_are_exact(spark):
+def test_common_shingles_are_exact(spark, monkeypatch):
+    """Texts of equal words count once, in whichever tasks; summaries are merged as a tree."""
     line = "a licence line that many documents have in common"
-    docs = docs_of(spark, [f"{fresh(30, 'k')} {line}" if k % 4 == 0 else fresh(40, "k") for k in range(400)]).repartition(6)
-    n, common = shingles.common_shingles(docs, "text")
-    assert n == 400 and len(common) == len(line.split()) - 4 and set(common.values()) == {100}
+    texts = [f"{fresh(30, 'k')} {line}" if k % 4 == 0 else fresh(40, "k") for k in range(400)]
+    docs = docs_of(spark, texts + [texts[0].upper()] * 50 + [fresh(30, "c")] * 50).repartition(21)
+    for fan_in in (shingles.FAN_IN, 2):
+        monkeypatch.setattr(shingles, "FAN_IN", fan_in)
+        n, common = shingles.common_shingles(docs, "text")
+        assert n == 500 and len(common) == len(line.split()) - 4 and set(common.values()) == {100}
+
+
+def test_idf_changes_a_verdict(spark):
+    """Two texts that share a licence of 60 words and little else are near-duplicates where it is rare, and aren't where it is common."""
+    licence = fresh(60, "licence")
+    pair = [f"{licence} {fresh(7, 'x')}", f"{licence} {fresh(7, 'y')}"]
+    for others, same in ((300, True), (0, False)):
+        texts = pair + [fresh(60, "o") for _ in range(300)] + [f"{licence} {fresh(300, 'z')}" for _ in range(300 - others)]
+        got = {x.doc_id: x.class_id for x in neardups.near_duplicates(docs_of(spark, texts)).collect()}
+        assert (got[0] == got[1]) is same and len(set(got.values())) == len(texts) - same
+
+
+def test_near_copies_without_ids(spark):
+    a, b = fresh(100, "a"), fresh(100, "b")
+    texts = [a + " one", a, a + " two", b, b + " more", "", None, "", a + " one", "x" * 300_000, "word " * 60_000, "word " * 60_001]
+    docs = docs_of(spark, texts, [None, 5, None, None, None, None, None, 7, 5, 8, 9, 10])
+    got = neardups.near_duplicates(docs).collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0) for r in got) == sorted([(0, 5), (5, 5), (0, 5), (0, 0), (0, 0), (0, 0), (0, 0), (7, 7), (5, 5), (8, 8), (9, 9), (10, 9)])
+    kept = neardups.keep_one(docs).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 0, 5, 7, 8, 9]
+    assert sum(r.text in (b, b + " more") for r in kept) == 1 and sum(not r.text for r in kept) == 3
+    two = neardups.keep_one(docs_of(spark, [a, b, a + " one"], [5, 5, 6]))  # an id of two texts
+    assert sorted((r.doc_id, r.text) for r in two.collect()) == [(5, a), (5, b)]
 
 
 def test_sampling_agrees_like_similarity():
@@ -286,6 +382,37 @@ def test_leaks_against_full_alignment(spark):
     assert leaks.drop_leaking(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_do_not_depend_on_pieces(monkeypatch):
+    """Items with runs of blanks, wherever a long text is cut; repeated q-grams, wherever counting is."""
+    r = random.Random(3)
+    items = [("a", fresh(30, "i")), ("b", fresh(12, "j")), ("c", "-" * 300), ("d", "=-" * 20)]
+    gap = fresh(25, "g").split()
+    items.append(("e", " ".join(gap)))
+    texts = []
+    for lead in (900, 990, 1000, 1010, 1990, 2003):
+        texts.append("y" * (lead % 7) + " z" * (lead // 2) + " " + (" " * 5000).join([" ".join(gap[:12]), " ".join(gap[12:])]) + " end " * 300 + items[0][1].upper() + " q" * 700)
+    texts += ["-" * 5000 + "x" + "=-" * 900 + items[1][1] + "-" * 299, "\u03a3\u03c2 " * 900 + items[1][1]]
+    whole = leaks.Index(items, leaks.Q, leaks.EDIT_SHARE).search(texts)
+    assert all({i for i, *_ in x} >= {"a", "e"} for x in whole[:6]) and {i for i, *_ in whole[6]} == {"b", "c", "d"}
+    for piece, pairs in ((1000, leaks.PAIRS), (leaks.PIECE, 5000), (1717, 777)):
+        monkeypatch.setattr(leaks, "PIECE", piece)
+        monkeypatch.setattr(leaks, "PAIRS", pairs)
+        again = leaks.Index(items, leaks.Q, leaks.EDIT_SHARE).search(texts)
+        assert [{i for i, *_ in x} for x in again] == [{i for i, *_ in x} for x in whole]
+        assert [[y for y in x if y[0] in "abe"] for x in again] == [[y for y in x if y[0] in "abe"] for x in whole]
+
+
+def test_leaks_of_repeated_characters_take_little_memory():
+    import tracemalloc
+
+    index = leaks.Index([("rule", "-" * 300), ("other", "=" * 250 + fresh(20, "k"))], leaks.Q, leaks.EDIT_SHARE)
+    tracemalloc.start()
+    (found,) = index.search(["-" * 200_000 + "\n" + "=" * 9000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {i for i, *_ in found} == {"rule"} and len(found) >= 600 and peak < 400e6
+
+
 # Tokens
 
 
@@ -406,12 +533,61 @@ def test_classifier_edges(spark):
     assert mil.score(docs.limit(0), model).count() == 0
 
 
+def _bags(r):
+    return [mil.encode(" ".join(f"w{r.randrange(50)}" for _ in range(n))) for n in (230, 40, 310, 100, 101, 7)]
+
+
+def test_attention_against_plain_python():
+    from math import exp, tanh
+
+    docs = _bags(random.Random(4))
+    m = mil.Model()
+    m.prior = None
+    p = {k: v.tolist() for k, v in m.p.items()}
+    times = lambda x, a: [sum(x[i] * a[i][j] for i in range(len(x))) for j in range(len(a[0]))]
+    for got, (words, counts) in zip(m.scores(docs), docs):
+        hs, es = [], []
+        for k, c in enumerate(counts.tolist()):
+            mine = words[100 * k : 100 * k + 100].tolist()
+            said = [sum(p["E"][w][j] for w in mine) / len(mine) for j in range(mil.EMBEDDING)]
+            h = [tanh(x + b) for x, b in zip(times(said + [max(-8, min(8, x)) for x in c], p["W"]), p["b"])]
+            gate = [tanh(v) / (1 + exp(-u)) for v, u in zip(times(h, p["V"]), times(h, p["U"]))]
+            hs.append(h)
+            es.append(exp(sum(g * w for g, w in zip(gate, p["w"]))))
+        z = [sum(e * h[j] for e, h in zip(es, hs)) / sum(es) for j in range(mil.HIDDEN)]
+        assert got == pytest.approx(1 / (1 + exp(-sum(a * b for a, b in zip(z, p["c"])) - p["d"][0])))
+
+
 def test_attention_gradients():
-    r = np.random.default_rng(3)
-    bags = [r.normal(0, 1, (int(n), mil.FEATURES)).astype(np.float32) for n in (3, 1, 4, 2, 5, 2)]
-    y = np.array([1, 0, 1, 0, 1, 0])
-    m = mil.Model().fit(bags, y)
-    assert ((m.scores(bags) > 0.5) == y).all()
+    docs, y = _bags(random.Random(5)), np.array([1, 0, 1, 0, 1, 0])
+    m = mil.Model()
+    m.prior = None
+    x = mil.Bags(docs)
+    g = m.gradients(x, y)
+
+    def loss():
+        s = m._forward(x)[-1]
+        return -np.mean(y * np.log(s) + (1 - y) * np.log(1 - s))
+
+    r = np.random.default_rng(6)
+    for name, at in m.p.items():
+        rows = [tuple(r.integers(0, n) for n in at.shape) for _ in range(6)] if name != "E" else [(int(docs[0][0][k]), k) for k in range(6)]
+        for i in rows:
+            old, each = at[i], []
+            for e in (1e-5, -1e-5):
+                at[i] = old + e
+                each.append(loss())
+            at[i] = old
+            assert g[name][i] == pytest.approx((each[0] - each[1]) / 2e-5, rel=1e-4, abs=1e-8), name
+    m.fit(docs, y)
+    assert ((m.scores(docs) > 0.5) == y).all()
+
+
+def test_sample_of_whole_documents(spark):
+    """A document that would pass the bound of words is left out, others stay."""
+    docs = docs_of(spark, [PROSE[0], "long " * 5000, PROSE[1]])
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    assert mil.learn(docs, labels, sample_words=1000).prior == 1.0 and mil.learn(docs, labels).prior is None
 
 
 # The queries on their tables
