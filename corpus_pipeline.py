@@ -24,8 +24,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents or more share go; n_chars is counted anew."""
-    kept = lines.dedup_lines(docs).drop("n_lines", "n_dropped")
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    names = docs.columns
+    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))  # so that no column can clash with the counts of lines
+    text = f"c{names.index('text')}"
+    kept = lines.dedup_lines(rows, text_col=text).withColumn(f"c{names.index('n_chars')}", F.length(text).cast("long")) if "n_chars" in names else lines.dedup_lines(rows, text_col=text)
+    return kept.select(*rows.columns).toDF(*names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +42,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, and the text that the ids decode to."""
-    return bpe.encode_texts(docs, automaton(), keep=("doc_id", "lang", "source"), decoded_col="text")
+    """The columns of documents (n_tokens and ids give way, if there are any), n_tokens, ids, and as text what the ids
+    decode to."""
+    return bpe.encode_texts(docs, automaton(), keep=tuple(docs.columns), decoded_col="text")
 
 
 STAGES = [
@@ -63,4 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{at}/{k}-{name}")
             docs = spark.read.parquet(f"{at}/{k}-{name}")
+        if 0 < k < len(STAGES) - 1:  # the rows of the stage before are done with: an empty table takes their place
+            spark.range(0).write.mode("overwrite").parquet(f"{at}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
