@@ -44,7 +44,11 @@ def clamp(x: Column, low: Column | int, high: Column | int) -> Column:
 
 
 def ceil_divide(x: Column, y: int) -> Column:
-    return F.ceil(_long(x) / F.lit(y)).cast("long")
+    """Of a positive divisor, in whole numbers: a double would lose digits beyond 2**53."""
+    if y < 1:
+        raise ValueError("y must be positive")
+    v, d = _long(x), F.lit(y).cast("long")
+    return F.call_function("div", v, d) + F.when(v % d > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")
 
 
 def ones_array(x: Column) -> Column:

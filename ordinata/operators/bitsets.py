@@ -37,7 +37,21 @@ def select1(bits: BitSet, n: int) -> DataFrame:
 
 
 def select0(bits: BitSet, n: int) -> DataFrame:
-    return _nth(bits.complement().df, n, bits.length)
+    """Zeros of a bucket are its width less its ones. In the bucket that holds the n-th zero, that lies as many places
+    further as there are ones that fewer zeros precede."""
+    shift = shift_for(max(1, bits.length))
+    width, keyed = 1 << shift, bits.df.withColumn("b", F.shiftright("pos", shift))
+    ones = keyed.groupBy("b").agg(F.count("*").alias("ones"))
+    buckets = bits.df.sparkSession.range((bits.length + width - 1) // width).withColumnRenamed("id", "b")  # at most BUCKETS + 1
+    zeros = F.least(F.lit(width).cast("long"), F.lit(bits.length) - F.col("b") * width) - F.coalesce("ones", F.lit(0))
+    per = buckets.join(ones, "b", "left").select("b", zeros.alias("z"))
+    before = per.select("b", "z", (F.sum("z").over(W.orderBy("b")) - F.col("z")).alias("before")).filter((F.col("before") < n) & (F.col("before") + F.col("z") >= n))
+    first = F.col("b") * width
+    inside = keyed.join(F.broadcast(before.select("b", "before")), "b")  # one row at most
+    rank = F.row_number().over(W.partitionBy("b").orderBy("pos"))
+    less = inside.withColumn("zeros", F.col("before") + F.col("pos") - first - (rank - 1)).filter(F.col("zeros") < n).groupBy("b").agg(F.count("*").alias("ones"))
+    pos = before.join(less, "b", "left").select((first + (n - 1) - F.col("before") + F.coalesce("ones", F.lit(0))).alias("pos"))
+    return pos.agg(F.coalesce(F.max("pos"), F.lit(-1)).cast("long").alias("pos"))
 
 
 def access(bits: BitSet, i: int) -> DataFrame:

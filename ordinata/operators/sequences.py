@@ -35,6 +35,17 @@ def _list(seq: Sequence, values: list[int], names: str) -> DataFrame:
     return seq.df.sparkSession.createDataFrame([(int(v),) if not isinstance(v, tuple) else v for v in check_literals(values)], names)
 
 
+#: Literals of a filter that the scan gets as they are; of more it gets the bounds.
+PUSHED = 1000
+
+
+def _among(df: DataFrame, name: str, values: list[int]) -> DataFrame:
+    some = sorted(set(map(int, values)))
+    if len(some) <= PUSHED:
+        return df.filter(F.col(name).isin(some))
+    return df.filter(F.col(name).between(some[0], some[-1]))
+
+
 # Access
 
 
@@ -51,7 +62,10 @@ def access_batch(seq: Sequence, indices: list[int] | DataFrame) -> DataFrame:
     if not isinstance(indices, DataFrame):
         if any(not 0 <= i < seq.length for i in indices):
             raise IndexError("position out of range")
-        indices = _list(seq, list(enumerate(indices)), "ord long, idx long")
+        asked = _list(seq, list(enumerate(indices)), "ord long, idx long")
+        if seq.unit:  # the scan reads no more than the positions asked for, and meets a bounded list
+            return _among(seq.df, "start", indices).join(F.broadcast(asked), F.col("idx") == F.col("start")).select("ord", "idx", "sym")
+        indices = F.broadcast(asked)
     if seq.unit:
         return indices.join(seq.df, F.col("idx") == F.col("start")).select("ord", "idx", "sym")
     width = max(1, seq.length >> 12)
@@ -84,10 +98,14 @@ def count(seq: Sequence, lower: int, upper_exclusive: int, first: int | None = N
 def rank_batch(seq: Sequence, symbols: list[int] | DataFrame, first: int | None = None, last: int | None = None, ignore_bits: int = 0) -> DataFrame:
     """(sym, cnt) for each distinct symbol or group asked for, zeros too. Symbols: a list, or a DataFrame (sym)."""
     check_ignored(ignore_bits)
-    if not isinstance(symbols, DataFrame):
-        symbols = _list(seq, symbols, "sym long")
-    asked = symbols.select(group_label(F.col("sym"), ignore_bits).alias("sym")).distinct()
     w, weight, _, _ = _window(seq, first, last)
+    if isinstance(symbols, DataFrame):
+        asked = symbols.select(group_label(F.col("sym"), ignore_bits).alias("sym")).distinct()
+    else:  # a bounded list: only these symbols are counted
+        labels = sorted({int(s) >> ignore_bits << ignore_bits for s in symbols})
+        asked = _list(seq, labels, "sym long")
+        if not ignore_bits:
+            w = _among(w, "sym", labels)
     h = w.groupBy(group_label(F.col("sym"), ignore_bits).alias("sym")).agg(_total(weight).alias("cnt"))
     return asked.join(h, "sym", "left").select("sym", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
 
@@ -146,12 +164,16 @@ def quantile(seq: Sequence, offset: int, first: int | None = None, last: int | N
     return ranked(seq, first, last).filter((F.col("lo") <= offset) & (F.col("hi") > offset)).select("sym", "cnt")
 
 
-def quantile_batch(seq: Sequence, offsets: list[int], first: int | None = None, last: int | None = None) -> DataFrame:
-    """(sym, cnt, num_offsets) of the symbols that the offsets fall on."""
+def quantile_batch(seq: Sequence, offsets: list[int] | DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """(sym, cnt, num_offsets) of the symbols that the offsets fall on. Offsets: a list, or a DataFrame (off), of which
+    those out of range fall on nothing."""
     first, last = check_range(first, last, seq.length)
-    if any(not 0 <= o < last - first for o in offsets):
-        raise IndexError("offset out of range")
-    asked = _list(seq, [(o, o + 1) for o in offsets], "first long, last long")
+    if isinstance(offsets, DataFrame):
+        asked = offsets.select(F.col("off").cast("long").alias("first"), (F.col("off") + 1).cast("long").alias("last")).filter((F.col("first") >= 0) & (F.col("first") < last - first))
+    else:
+        if any(not 0 <= o < last - first for o in offsets):
+            raise IndexError("offset out of range")
+        asked = F.broadcast(_list(seq, [(o, o + 1) for o in offsets], "first long, last long"))
     spans = ranked(seq, first, last).select("sym", "cnt", F.col("lo").alias("start"), F.col("hi").alias("end"))
     return join_ranges(spans, asked, max(1, (last - first) >> 10)).groupBy("sym", "cnt").agg(F.count("*").alias("num_offsets"))
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ordinata.plans.prefix import running_total
+from ordinata.plans.prefix import running_total, shift_for
 
 LARGEST = 2**32 - 1
 
@@ -34,19 +35,23 @@ class Sequence:
 
     @staticmethod
     def from_df(df: DataFrame, pos: str | Column, sym: str | Column, *, length: int | None = None, max_symbol: int | None = None, check: bool = True) -> Sequence:
-        """Positions must be 0..length-1, each once, and symbols from 0 to max_symbol. One aggregate checks that and
-        finds what isn't given; with check=False, length and max_symbol are taken as they are."""
+        """Positions must be 0..length-1, each once, and symbols from 0 to max_symbol. One aggregate checks that: it marks
+        positions in bitmaps, so repeated ones can't hide, and only counts are summed. With check=False, length and
+        max_symbol are taken as they are, which is right for a table that was checked before."""
         rows = df.select((F.col(pos) if isinstance(pos, str) else pos).cast("long").alias("start"), (F.col(sym) if isinstance(sym, str) else sym).cast("long").alias("sym"))
         if check or length is None or max_symbol is None:
-            s = rows.agg(F.count("*").alias("n"), F.count("start").alias("p"), F.count("sym").alias("s"), F.min("start").alias("first"), F.max("start").alias("last"), F.sum("start").alias("total"), F.min("sym").alias("least"), F.max("sym").alias("most")).first()
-            if s.p < s.n or s.s < s.n:
+            marks = F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("start")))
+            each = rows.groupBy(F.bitmap_bucket_number("start").alias("b")).agg(marks.alias("bits"), F.count("*").alias("n"), F.count("start").alias("p"), F.count("sym").alias("s"), F.min("start").alias("first"), F.max("start").alias("last"), F.min("sym").alias("least"), F.max("sym").alias("most"))
+            s = each.agg(*(F.sum(c).alias(c) for c in ("bits", "n", "p", "s")), F.min("first").alias("first"), F.max("last").alias("last"), F.min("least").alias("least"), F.max("most").alias("most")).first()
+            n = s.n or 0
+            if n and (s.p < n or s.s < n):
                 raise ValueError("null position or symbol")
-            if s.n and (s.first != 0 or s["last"] != s.n - 1 or s.total != s.n * (s.n - 1) // 2 or length not in (None, s.n)):
+            if n and (s.first != 0 or s["last"] != n - 1 or s.bits != n) or length not in (None, n):
                 raise ValueError("positions must be 0..length-1, each once")
             most = -1 if s.most is None else s.most
-            if s.n and s.least < 0 or most > (LARGEST if max_symbol is None else max_symbol):
+            if n and s.least < 0 or most > (LARGEST if max_symbol is None else max_symbol):
                 raise ValueError("symbol out of range")
-            length, max_symbol = s.n, max(0, most) if max_symbol is None else max_symbol
+            length, max_symbol = n, max(0, most) if max_symbol is None else max_symbol
         if max_symbol > LARGEST:
             raise ValueError("max_symbol must fit in 32 bits")
         return Sequence(rows.select("start", (F.col("start") + 1).alias("end"), "sym"), length, max_symbol)
@@ -87,6 +92,12 @@ class BitSet:
     df: DataFrame
     length: int
 
+    def cached(self) -> BitSet:
+        return BitSet(self.df.cache(), self.length)
+
+    def destroy(self) -> None:
+        self.df.unpersist()
+
     @staticmethod
     def from_df(df: DataFrame, pos: str | Column, length: int) -> BitSet:
         rows = df.select((F.col(pos) if isinstance(pos, str) else pos).cast("long").alias("pos"))
@@ -95,12 +106,6 @@ class BitSet:
             raise ValueError("positions must lie in 0..length-1")
         return BitSet(rows.distinct(), length)
 
-    @staticmethod
-    def from_runs(df: DataFrame, start: str, end: str, length: int) -> BitSet:
-        """Ones at start..end-1 of each row."""
-        runs = df.filter(F.col(start) < F.col(end))
-        return BitSet.from_df(runs.select(F.explode(F.sequence(F.col(start).cast("long"), F.col(end).cast("long") - 1)).alias("pos")), "pos", length)
-
     @staticmethod
     def from_values(spark: SparkSession, ones: list[int], length: int) -> BitSet:
         return BitSet.from_df(spark.createDataFrame([(x,) for x in ones], "pos long"), "pos", length)
@@ -110,15 +115,55 @@ class BitSet:
         return BitSet(every.join(self.df, "pos", "left_anti"), self.length)
 
 
+@dataclass(frozen=True)
+class RunBits:
+    """Runs (start, end) of ones among length bits, apart from each other; positions start..end-1 are ones."""
+
+    df: DataFrame
+    length: int
+
+    def cached(self) -> RunBits:
+        return RunBits(self.df.cache(), self.length)
+
+    def destroy(self) -> None:
+        self.df.unpersist()
+
+    @staticmethod
+    def from_df(df: DataFrame, start: str, end: str, length: int) -> RunBits:
+        """Empty runs go; runs must not overlap. Each is compared with the one before it in its bucket of positions, and
+        the first of a bucket with all buckets before."""
+        runs = df.select(F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"))
+        keyed = runs.filter("start is null or end is null or start < end").withColumn("b", F.shiftright("start", shift_for(max(1, length))))
+        ends = keyed.groupBy("b").agg(F.max("end").alias("e")).select("b", F.max("e").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
+        here = F.max("end").over(W.partitionBy("b").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
+        bad = (F.col("start") < 0) | (F.col("end") > length) | (F.col("start") < F.greatest(here, F.col("before")))
+        seen = keyed.join(F.broadcast(ends), "b", "left").select(F.coalesce(bad, F.col("start").isNull() | F.col("end").isNull()).alias("bad"))
+        if not seen.filter("bad").isEmpty():
+            raise ValueError("runs must lie in 0..length and apart")
+        return RunBits(runs.filter("start < end"), length)
+
+
 @dataclass(frozen=True)
 class Multiset:
     """Histogram (value, cnt) of non-negative integers."""
 
     df: DataFrame
 
+    def cached(self) -> Multiset:
+        return Multiset(self.df.cache())
+
+    def destroy(self) -> None:
+        self.df.unpersist()
+
     @staticmethod
-    def from_df(df: DataFrame, value: str) -> Multiset:
-        return Multiset(df.groupBy(F.col(value).cast("long").alias("value")).agg(F.count("*").alias("cnt")))
+    def from_df(df: DataFrame, value: str | Column) -> Multiset:
+        """Of a column or an expression. Nulls, negative and broken numbers raise; the check reads the histogram."""
+        raw = F.col(value) if isinstance(value, str) else value
+        per = df.groupBy(raw.alias("raw")).agg(F.count("*").alias("cnt"))
+        whole = F.expr("try_cast(raw as bigint)")
+        if not per.filter(F.col("raw").isNull() | whole.isNull() | (F.col("raw") < 0) | (whole != F.col("raw"))).isEmpty():
+            raise ValueError("values must be whole numbers from 0")
+        return Multiset(per.select(whole.alias("value"), "cnt"))
 
     @staticmethod
     def from_values(spark: SparkSession, values: list[int]) -> Multiset:

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ordinata.functions import bits as B
 from ordinata.operators import bitsets as S
-from ordinata.sources.sequence import BitSet, Multiset
+from ordinata.operators import runbits as R
+from ordinata.sources.sequence import BitSet, Multiset, RunBits
 
 
 def one(df):
@@ -30,7 +31,24 @@ def test_bit_sets(spark, length, ones):
         S.access(b, length)
     runs = sorted(map(tuple, S.runs(b).collect()))
     assert [x for s, e in runs for x in range(s, e)] == up and all(a[1] < c[0] for a, c in zip(runs, runs[1:]))
-    assert sorted(r.pos for r in BitSet.from_runs(S.runs(b), "start", "end", length).df.collect()) == up
+    as_runs = RunBits.from_df(S.runs(b).union(S.runs(b).selectExpr("start", "start")), "start", "end", length).cached()
+    for i in (-1000, -1, 0, length // 2, length - 1, length + 1000):
+        want = sum(x <= i for x in have)
+        assert one(R.rank1(as_runs, i)) == want and one(R.rank0(as_runs, i)) == max(0, min(i + 1, length)) - want
+    for n in (-1, 0, 1, 2, len(up), len(up) + 1, len(down), len(down) + 1):
+        assert one(R.select1(as_runs, n)) == (up[n - 1] if 1 <= n <= len(up) else -1)
+        assert one(R.select0(as_runs, n)) == (down[n - 1] if 1 <= n <= len(down) else -1)
+    for i in {0, length // 3, length - 1} if length else ():
+        assert one(R.access(as_runs, i)) == (i in have)
+    with pytest.raises(IndexError):
+        R.access(as_runs, length)
+    as_runs.destroy()
+
+
+@pytest.mark.parametrize("bad", [[(0, 5), (4, 6)], [(0, 11)], [(-1, 3)], [(0, 9), (2, 3)], [(None, 2)]])
+def test_bad_runs(spark, bad):
+    with pytest.raises(ValueError):
+        RunBits.from_df(spark.createDataFrame(bad, "s long, e long"), "s", "e", 10)
 
 
 def test_bad_bits(spark):
@@ -47,6 +65,18 @@ def test_multiset(spark):
     assert S.multiset_access(m, 60).count() == 0
 
 
+@pytest.mark.parametrize("bad", [2.7, -1.0, None, 1e30])
+def test_bad_multisets(spark, bad):
+    with pytest.raises(ValueError):
+        Multiset.from_df(spark.createDataFrame([(1.0,), (bad,)], "v double"), "v")
+
+
+def test_ceil_divide(spark):
+    xs = [0, 1, 6, 7, 8, -1, -7, -8, 2**53 + 1, 2**62 + 1, -(2**62) - 1]
+    df = spark.createDataFrame([(x,) for x in xs], "x long")
+    assert [tuple(r) for r in df.select(B.ceil_divide(F.col("x"), 1), B.ceil_divide(F.col("x"), 7)).collect()] == [(x, -(-x // 7)) for x in xs]
+
+
 def test_bit_functions(spark):
     xs = [0, 1, 2, 6, 255, 2**31, 2**32 - 1, 12345678]
     df = spark.createDataFrame([(x,) for x in xs], "x long")

@@ -44,6 +44,6 @@ def test_names():
 
 def test_whole_sequences(spark, duck, data):
     n, orders = (duck.sql(f"select count(*) from {t}").fetchall()[0][0] for t in ("events", "orders"))
-    got = {name: entry.queries()[name](spark, f"{data}/sf0.01").toPandas() for name in ("whole_counts", "whole_quantiles", "whole_union", "whole_quantile_ranges")}
-    assert got["whole_counts"].cnt.sum() == got["whole_quantiles"].cnt.sum() == n
-    assert got["whole_union"].cnt.sum() == n + n // 2 and got["whole_quantile_ranges"].rid.max() == (orders - 1) // 100
+    got = {name: entry.queries()[name](spark, f"{data}/sf0.01").toPandas() for name in ("counts_sorted", "union", "quantile_ranges", "index_counts")}
+    assert got["counts_sorted"].cnt.sum() == got["index_counts"].query("rid == 0").cnt.sum() == n
+    assert got["quantile_ranges"].rid.max() == (orders - 1) // 100

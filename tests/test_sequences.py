@@ -6,9 +6,11 @@ from collections import Counter
 import pytest
 
 from ordinata.functions.bits import fields, subcode_separator
+from ordinata.operators import indexed as I
 from ordinata.operators import sequences as Q
 from ordinata.sources.sequence import Sequence, with_positions
 
+# A sequence and the answers to requests about it that any such engine gives.
 SEQ10 = [0, 1, 3, 7, 1, 5, 4, 2, 6, 3]
 
 
@@ -102,7 +104,7 @@ def test_empty_and_single_symbol(spark):
     assert pairs(Q.counts(zeros)) == {0: 3} and tuple(Q.quantile(zeros, 2).first()) == (0, 3)
 
 
-@pytest.mark.parametrize("rows", [[(0, None)], [(None, 1)], [(0, 1), (0, 2)], [(0, 1), (2, 2)], [(0, -1)], [(0, 2**32)]])
+@pytest.mark.parametrize("rows", [[(0, None)], [(None, 1)], [(0, 1), (0, 2)], [(0, 1), (2, 2)], [(0, -1)], [(0, 2**32)], [(0, 1), (0, 1), (3, 1), (3, 1)], [(0, 1), (2**62, 1)], [(2**62, 1), (2**62, 2)], [(-1, 1), (0, 1)]])
 def test_bad_sequences(spark, rows):
     with pytest.raises(ValueError):
         Sequence.from_df(spark.createDataFrame(rows, "p long, v long"), "p", "v")
@@ -159,6 +161,35 @@ def test_random(spark, seed):
     assert got == {k: sorted(data[p:q])[o] for k, (p, q, o) in enumerate([(a, b, 0), (0, n, n // 2), (a, a, 0)]) if o < q - p}
 
 
+def test_long_sequences():
+    """Sums of positions beyond 2**63 must not come up: only counts of bitmaps are added."""
+    import inspect
+
+    assert "F.sum(\"start\")" not in inspect.getsource(Sequence.from_df)
+
+
+def test_literal_requests_reach_the_scan(spark, tmp_path):
+    spark.range(50_000).selectExpr("id as p", "id % 97 as v").write.parquet(f"{tmp_path}/s")
+    seq = Sequence.from_df(spark.read.parquet(f"{tmp_path}/s"), "p", "v")
+    for df, column in ((Q.access_batch(seq, [5, 7, 5]), "p"), (Q.rank_batch(seq, [3, 4]), "v")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert f"In({column}," in plan and "SortMergeJoin" not in plan
+    assert "Exchange hashpartitioning" not in Q.access_batch(seq, [5, 7, 5])._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("n", [0, 1, 16, 17, 700])
+def test_index(spark, tmp_path, n):
+    rng = random.Random(n)
+    data = [rng.choice([3, 3, 9, rng.randrange(40)]) for _ in range(n)]
+    seq = Sequence.from_df(spark.createDataFrame(list(enumerate(data)), "p long, v long"), "p", "v")
+    asked = [(k, *sorted((rng.randint(0, n), rng.randint(0, n))), rng.randrange(5), 3) for k in range(12)] + [(99, 0, n, 0, 9), (100, 0, 0, 0, 3)]
+    table = spark.createDataFrame(asked, "rid long, first long, last long, off long, sym long")
+    for index in (I.build(seq), I.build(seq, f"{tmp_path}/index")):
+        assert {(r.rid, r.sym): r.cnt for r in I.counts(index, table).collect()} == {(k, x): c for k, a, b, _, _ in asked for x, c in Counter(data[a:b]).items()}
+        assert {r.rid: r.cnt for r in I.ranks(index, table).collect()} == {k: data[a:b].count(x) for k, a, b, _, x in asked}
+        assert {r.rid: (r.sym, r.cnt) for r in I.quantiles(index, table).collect()} == {k: (v := sorted(data[a:b])[o], data[a:b].count(v)) for k, a, b, o, _ in asked if o < b - a}
+
+
 def test_positions(spark):
     keys = random.Random(1).sample(range(10**9), 50)
     got = {r.k: r.pos for r in with_positions(spark.createDataFrame([(k,) for k in keys], "k long"), "k").collect()}
