@@ -67,7 +67,8 @@ def candidates(docs: DataFrame, rules: list[Rule], id_col: str, text_col: str) -
         return None
     held = postings(docs, sorted({t for _, c in clauses for t in c}), id_col, text_col)
     # the rules' own constants: which clauses ask for a trigram, and of how many they are
-    asked = docs.sparkSession.createDataFrame([(t, k, len(c), kind) for k, (kind, c) in enumerate(clauses) for t in sorted(c)], "trigram string, clause int, size int, kind string")
+    rows = [F.struct(F.lit(t).alias("trigram"), F.lit(k).alias("clause"), F.lit(len(c)).alias("size"), F.lit(kind).alias("kind")) for k, (kind, c) in enumerate(clauses) for t in sorted(c)]
+    asked = docs.sparkSession.range(1).select(F.inline(F.array(*rows)))
     lists = held.join(F.broadcast(asked), "trigram")
     met = lists.groupBy("id", "clause", "size", "kind").agg(F.count_distinct("trigram").alias("n")).filter("n = size")
     return met.groupBy("id").agg(F.collect_set("kind").alias("kinds"))  # at most one entry for each rule
