@@ -152,7 +152,7 @@ def test_many_copies_make_few_pairs(spark):
     n = 400
     out = passages.repeated_passages(docs_of(spark, [f"{fresh(20, 'x')} {shared} {fresh(20, 'y')}" for _ in range(n)]).repartition(7))
     rows = out.collect()
-    assert {r.class_id for r in rows} == {0} and {r.doc_id for r in rows} == set(range(1, n)) and len(rows) <= 3 * n
+    assert {r.class_id for r in rows} == {0} and {r.doc_id for r in rows} == set(range(1, n)) and len(rows) <= 4 * n  # of 79,800; near the passage's ends, windows of some copies only form chains of their own
 
 
 def test_passage_whose_part_comes_before():
