@@ -6,9 +6,9 @@ if v may follow u, the state that u leads to is split off for u alone and loses
 state with a u-arc gets a uv-arc to where v leads. As all arcs of a token lead to one state, the
 automaton is a bit matrix (token x state) of arcs and one target state for each token.
 
-Encoding walks the bytes of a pre-split word over a table-driven trie of tokens and the automaton: each
-prefix of a word has exactly one accepted path, so for each end the one allowed arc is kept. Decoding
-emits arc labels. The automaton depends on the vocabulary alone, so its size has a bound that no
+Encoding walks the bytes of a pre-split word over a table-driven trie of tokens and the automaton, the longest
+allowed arc first: each prefix of a word has exactly one accepted path, so going back costs at most one walk more
+from each byte. Decoding emits arc labels. The automaton depends on the vocabulary alone, so its size has a bound that no
 data can move; it is compiled once and sent to the executors compressed.
 
 Defined results. A null text is encoded as the empty text: no ids. Null ids decode to the empty text.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import sys
 import unicodedata
 import zlib
@@ -151,83 +152,75 @@ class Coder:
 
     def __init__(self, a: Automaton):
         self.arcs, self.row, self.target, self.labels = a.arcs, array("q", a.row), array("i", a.target), a.labels
-        # the trie of labels in two flat tables: node << 8 | byte to the next node, and the token that ends at each node
-        self.step: dict[int, int] = {}
-        self.ends = array("i", [-1])
+        # the trie of labels as one table: each beginning of a label to the token that it is, -1 if it is none
+        self.step: dict[bytes, int] = {}
         for k, label in enumerate(a.labels):
             if a.target[k] >= 0:
-                node = 0
-                for byte in label:
-                    node = self.step.setdefault(node << 8 | byte, len(self.ends))
-                    if node == len(self.ends):
-                        self.ends.append(-1)
-                self.ends[node] = k
-        self.near, self.all = splitter(0xFFFF), splitter()
+                for i in range(1, len(label)):
+                    self.step.setdefault(label[:i], -1)
+                self.step[label] = k
+        self.split = [splitter(0x7F), splitter(0xFFFF), splitter()]
         self.added = a.added
         self.marks = re.compile("|".join(map(re.escape, sorted(a.added, key=len, reverse=True)))) if a.added else None
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def word(self, data: bytes) -> tuple[int, ...]:
-        n = len(data)
-        step, ends, arcs, row, target = self.step.get, self.ends, self.arcs, self.row, self.target
-        # the longest arc each time: if that reads the whole word, it is the one accepted path
-        out, at, s = [], 0, 0
-        while at < n:
-            node, best = 0, -1
-            for i in range(at, n):
-                node = step(node << 8 | data[i])
-                if node is None:
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def word(self, data: bytes) -> list[int]:
+        step, arcs, row, target, labels = self.step.get, self.arcs, self.row, self.target, self.labels
+        out: list[int] = []
+        at, s, last = 0, 0, len(data)
+        while at < len(data):
+            # the longest arc; where there is none, the arc that led here gives way to the next shorter one. As each
+            # beginning of a word has one accepted path, no place is come to by two
+            here = []
+            for i in range(at + 1, last + 1):
+                t = step(data[at:i])
+                if t is None:
                     break
-                t = ends[node]
-                if t >= 0 and arcs[row[t] + (s >> 3)] >> (s & 7) & 1:
-                    best, end = t, i + 1
-            if best < 0:
-                break
-            out.append(best)
-            at, s = end, target[best]
-        else:
-            return tuple(out)
-        # else for each end the one arc that the automaton allows there
-        last, state = [-1] * (n + 1), [0] * (n + 1)
-        for j in range(n):
-            s, node = state[j], 0
-            for i in range(j, n):
-                node = step(node << 8 | data[i])
-                if node is None:
+                if t >= 0:
+                    here.append(t)
+            byte, bit = s >> 3, s & 7
+            while here:
+                t = here.pop()
+                if arcs[row[t] + byte] >> bit & 1:
+                    out.append(t)
+                    at += len(labels[t])
+                    s, last = target[t], len(data)
                     break
-                t = ends[node]
-                if t >= 0 and last[i + 1] < 0 and arcs[row[t] + (s >> 3)] >> (s & 7) & 1:
-                    last[i + 1], state[i + 1] = t, target[t]
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at -= len(self.labels[last[at]])
-        return tuple(reversed(out))
-
-    def _plain(self, text: str, out: list[int]) -> None:
-        cache, older = self.cache, self.older
-        near = text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
-        for w in (self.near if near else self.all).findall(text):
-            ids = cache.get(w)
-            if ids is None:
-                ids = older.get(w) or self.word(w.encode("utf-8", "surrogatepass"))
-                if len(w) <= 64:
-                    if len(cache) >= MAX_CACHED:
-                        self.older, self.cache = cache, {}
-                        cache, older = self.cache, self.older
-                    cache[w] = ids
-            out.extend(ids)
+            else:
+                last = at - 1
+                at -= len(labels[out.pop()])
+                s = target[out[-1]] if out else 0
+        return out
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        at = 0
+    def _new(self, w: str) -> bytes:
+        """The packed ids of a word that wasn't in the cache."""
+        ids = self.cache.get(w) or self.older.get(w) or packed(self.word(w.encode("utf-8", "surrogatepass")))
+        if len(w) <= 64:
+            if len(self.cache) >= MAX_CACHED:
+                self.older, self.cache = self.cache, {}
+            self.cache[w] = ids
+        return ids
+
+    def _plain(self, text: str) -> bytes:
+        kind = 0 if text.isascii() else 1 if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else 2
+        words = self.split[kind].findall(text)
+        ids = list(map(self.cache.get, words))
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            ids[i] = self._new(words[i])
+        return b"".join(ids)
+
+    def pack(self, text: str) -> bytes:
+        """The ids of a text, packed."""
+        out, at = [], 0
         for m in self.marks.finditer(text) if self.marks else ():
-            self._plain(text[at : m.start()], out)
-            out.append(self.added[m[0]])
+            out += [self._plain(text[at : m.start()]), packed([self.added[m[0]]])]
             at = m.end()
-        self._plain(text[at:] if at else text, out)
-        return out
+        out.append(self._plain(text[at:] if at else text))
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return unpacked(self.pack(text))
 
     def forget(self) -> None:
         """Between tasks: Spark hands this process to other stages, which need the memory."""
@@ -237,6 +230,15 @@ class Coder:
         return decode(self.labels, ids)
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def unpacked(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, "<u4").tolist()
+
+
 def decode(labels: list[bytes], ids) -> str:
     return b"".join(map(labels.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -264,10 +266,10 @@ def encode_texts(docs: DataFrame, automaton: Automaton, *, text_col: str = "text
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                ids = [coder.encode(t or "") for t in part.column(0).to_pylist()]
-                new = {"n_tokens": pa.array(map(len, ids), pa.int64()), "ids": pa.array([np.asarray(x, "<u4").tobytes() for x in ids], pa.binary())}
+                ids = [coder.pack(t or "") for t in part.column(0).to_pylist()]
+                new = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
                 if decoded_col:
-                    new[decoded_col] = pa.array(map(coder.decode, ids), pa.string())
+                    new[decoded_col] = pa.array([coder.decode(unpacked(x)) for x in ids], pa.string())
                 yield pa.record_batch([*part.columns[1:], *new.values()], [*part.schema.names[1:], *new])
         coder.forget()
 
@@ -285,7 +287,7 @@ def decode_ids(rows: DataFrame, automaton: Automaton, *, ids_col: str = "ids", k
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                texts = [decode(labels, np.frombuffer(x or b"", "<u4").tolist()) for x in part.column(0).to_pylist()]
+                texts = [decode(labels, unpacked(x or b"")) for x in part.column(0).to_pylist()]
                 yield pa.record_batch([*part.columns[1:], pa.array(texts, pa.string())], [*part.schema.names[1:], out_col])
 
     picked = rows.select(rows[ids_col].alias("_ids"), *(rows[c] for c in keep))
