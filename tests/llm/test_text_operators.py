@@ -432,6 +432,19 @@ def test_bpe_against_library(spark):
     assert bpe.encode_texts(docs_of(spark, []).limit(0), automaton()).count() == 0
 
 
+def test_bpe_long_words_and_full_caches(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(bpe, "MAX_CACHED", 3)
+    coder, r = bpe.Coder(automaton()), random.Random(9)
+    texts = ["a" * 300_000, "=" * 300_001, "ab" * 100_000, "é" * 100_000, " ".join("".join(r.choice("theinra") for _ in range(r.randint(1, 9))) for _ in range(2000))]
+    for x in texts * 2:
+        assert coder.encode(x) == t.encode(x, add_special_tokens=False).ids
+        assert coder.decode(coder.encode(x)) == x and max(len(coder.cache), len(coder.older)) <= 3
+
+
 def test_bpe_gadgets_against_merging():
     r = random.Random(8)
     for _ in range(60):
