@@ -187,6 +187,54 @@ def test_phrases_of_many_part_no_pair(spark):
         assert {(r.other_id, r.doc_id) for r in out} == set(pairs)
 
 
+def test_large_groups_lose_no_pair(spark):
+    """Passages of 50 words in two documents each, whose halves and quarters many others hold in longer parts of 40 words."""
+    r = random.Random(21)
+    new = lambda n: [f"u{r.randrange(10**9)}" for _ in range(n)]
+    texts, pairs = [], []
+    for k in range(10):
+        passage = new(50)
+        other = passage[:25] + ["changed"] * (k % 2) + passage[25 + k % 2 :]
+        around = [[new(30) + passage[lo : lo + 40] + new(30) for lo in (0, 10, 5)] for _ in range(12)]
+        block = [t for three in around for t in three]
+        pairs.append((len(texts) + 9, len(texts) + 27))
+        block[9:9], block[27:27] = [new(20) + passage + new(60)], [new(70) + other + new(10)]
+        texts += block
+    for parts in (1, 5):
+        out = passages.repeated_passages(docs_of(spark, [" ".join(t) for t in texts]).repartition(parts)).collect()
+        assert {(x.other_id, x.doc_id) for x in out} == set(pairs)
+
+
+def test_compare():
+    """All pairs of a group against one by one, with classes, clashes of sides and repeated shingles."""
+    r = random.Random(4)
+    how = dict(min_words=12, size=3, similarity=0.8)
+    for _ in range(30):
+        base = [np.array([r.randrange(1, 60 if r.random() < 0.3 else 2**32) for _ in range(16)], np.uint32) for _ in range(4)]
+        places = []
+        for _ in range(14):
+            p = r.choice(base).copy()
+            for _ in range(r.randint(0, 3)):
+                p[r.randrange(16)] = r.randrange(1, 2**32)
+            places.append(np.concatenate([p, np.zeros(1, np.uint32)]))
+        need = np.array([min(len(set(p[i : i + 10].tolist())) for i in range(7)) for p in places])
+        doc, cls, side = np.arange(14) // 2, np.array([r.randrange(7) for _ in range(14)]), np.zeros(14, int)
+        joined = np.array([r.random() < 0.3 for _ in range(14)])
+        got = passages.compare(side, doc, cls, joined, need, places, **how)
+        like = {(i, j) for i in range(14) for j in range(i) if doc[i] != doc[j] and passages.shared_passages(places[j][:16].astype(np.uint64), places[i][:16].astype(np.uint64), **how)}
+        known = {(i, j) for i in range(14) for j in range(i) if joined[i] and joined[j] and cls[i] == cls[j]}
+        assert set(got) <= {tuple(sorted((int(doc[i]), int(doc[j])))) for i, j in like}
+
+        def parts(edges):
+            up = list(range(7))
+            for i, j in edges:
+                up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+            return up
+
+        of = lambda pairs: [(int(doc[i]), int(doc[j])) for i, j in pairs]
+        assert parts(got + of(known)) == parts(of(like) + of(known))
+
+
 def test_passages_against_all_pairs(spark):
     """Passages of 55 to 120 words, some edited, among phrases that many documents hold: recall of the links, and no false ones."""
     r = random.Random(11)
