@@ -235,6 +235,27 @@ def test_compare():
         assert parts(got + of(known)) == parts(of(like) + of(known))
 
 
+def test_passages_across_bands():
+    """An insertion moves the second half of a passage to the next band of diagonals, and its shingles occur before."""
+    p = np.arange(1, 61)
+    before = np.arange(1000, 1000 + 60 * 31).reshape(60, 31)
+    before[:, 0] = np.random.default_rng(1).permutation(p)
+    a = np.concatenate([before.ravel(), p]).astype(np.uint64)
+    b = np.concatenate([np.arange(100, 134), p[:30], np.arange(200, 204), p[30:]]).astype(np.uint64)
+    assert [q[:4] for q in passages.shared_passages(a, b, min_words=46, size=1, similarity=0.8)] == [(1860, 1920, 34, 98)]
+
+
+def test_compare_turns_away(monkeypatch):
+    """Windows of which only one has enough of what both share aren't compared."""
+    calls, real = [], passages.shared_passages
+    monkeypatch.setattr(passages, "shared_passages", lambda *a, **k: calls.append(1) or real(*a, **k))
+    few, end = np.arange(1, 8), np.zeros(1)
+    rows = [np.concatenate([few, few, end]), np.concatenate([few, np.arange(20, 29), end])]
+    zero = np.zeros(2, int)
+    assert not passages.compare(zero, np.arange(2), zero, zero > 0, np.array([7, 10]), [x.astype(np.uint32) for x in rows], min_words=12, size=3, similarity=0.8)
+    assert not calls
+
+
 def test_passages_against_all_pairs(spark):
     """Passages of 55 to 120 words, some edited, among phrases that many documents hold: recall of the links, and no false ones."""
     r = random.Random(11)
